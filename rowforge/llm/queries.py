@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import bpe, mixing, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op4_compression_bands": quality_rules.op4_compression_bands,
     "op5_mix_to_weights": mixing.op5_mix_to_weights,
+    "op6_bpe_automaton": bpe.op6_bpe_automaton,
     "op9_feistel_shards": sharding.op9_feistel_shards,
+    "op10_structural_secrets": secrets.op10_structural_secrets,
 }
 
 ORACLES = {
