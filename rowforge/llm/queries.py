@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules, secrets, sharding
+from . import bpe, media, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
 
 QUERIES = {
+    "op1_mjpeg_shots": media.op1_mjpeg_shots,
+    "op3_ftrl_toxicity": toxicity.op3_ftrl_toxicity,
     "op4_compression_bands": quality_rules.op4_compression_bands,
     "op5_mix_to_weights": mixing.op5_mix_to_weights,
     "op6_bpe_automaton": bpe.op6_bpe_automaton,
+    "op7_subword_quality": quality_classifier.op7_subword_quality,
     "op9_feistel_shards": sharding.op9_feistel_shards,
     "op10_structural_secrets": secrets.op10_structural_secrets,
 }
