@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
+from . import bpe, media, mixing, near_duplicates, quality_classifier, quality_rules, secrets, sharding, toxicity
 
 QUERIES = {
+    "op2_bayes_jaccard": near_duplicates.op2_bayes_jaccard,
     "op1_mjpeg_shots": media.op1_mjpeg_shots,
     "op3_ftrl_toxicity": toxicity.op3_ftrl_toxicity,
     "op4_compression_bands": quality_rules.op4_compression_bands,
