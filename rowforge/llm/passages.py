@@ -3,7 +3,7 @@
 1. Texts are classes by hash: a copy is told by its class and takes no further part.
 2. Seeds are minimizers: of every 12 neighbouring runs of 8 words the one of least hash. Any 19 words that two texts
    share hold a shared seed.
-3. Each seed is tied to the least class that has it, so a passage of m texts gives m - 1 ties, not m squared.
+3. Each seed is tied to one class that has it, the first in an order of classes, so a passage of m texts gives m - 1 ties, not m squared.
    Ties of a pair of texts, a pair of word positions each, are chained: a Fenwick tree over the positions in one
    text gives each tie its best predecessor under a gap cost linear in both distances.
 4. Chains are aligned word by word, between seeds and beyond their ends; a passage is kept if it has at least
@@ -69,14 +69,14 @@ def word_codes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
-def seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word position, hash, whether the text's first seed of that hash)"""
+def seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word position, hash, whether the text's first seed of that hash, words until it stops recurring)"""
     words = [t.encode().split() for t in texts]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     code = word_codes(list(flatten.from_iterable(words)))
     nothing = np.zeros(0, np.int64)
     if len(code) < SEED + WINDOW - 1:
-        return nothing, nothing, nothing, np.zeros(0, bool)
+        return nothing, nothing, nothing, np.zeros(0, bool), nothing
     owner = np.repeat(np.arange(len(words)), sizes)
     runs = len(code) - SEED + 1
     h = code[:runs]
@@ -91,16 +91,17 @@ def seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     edge = np.zeros(WINDOW - 1, np.uint64)
     reached = _sliding(np.concatenate((edge, least, edge)), WINDOW, least=False)
     at = np.flatnonzero((reached == h) & (owner[:runs] == owner[SEED - 1 :]))
-    # Of equal seeds within a window's width one stays: repetitive text is not all seeds.
+    # Of equal seeds within a window's width of one another the first stays, with the words they cover together:
+    # repetitive text is not all seeds.
     order = np.lexsort((at, h[at], owner[at]))
     at = at[order]
     same = (owner[at][1:] == owner[at][:-1]) & (h[at][1:] == h[at][:-1])
-    close = np.concatenate(([False], same & (np.diff(at) < WINDOW)))
-    first = np.concatenate(([True], ~same)) if len(at) else np.zeros(0, bool)
-    keep = ~close
-    at, first = at[keep], first[keep]
+    begins = np.flatnonzero(np.concatenate(([True], ~(same & (np.diff(at) < WINDOW))))) if len(at) else nothing
+    last = at[np.append(begins[1:] - 1, len(at) - 1)] if len(at) else nothing
+    first = np.concatenate(([True], ~same))[begins] if len(at) else np.zeros(0, bool)
+    at = at[begins]
     begin = np.cumsum(sizes) - sizes
-    return owner[at], at - begin[owner[at]], h[at].view(np.int64), first
+    return owner[at], at - begin[owner[at]], h[at].view(np.int64), first, last - at + SEED
 
 
 def best_chains(x: list[int], y: list[int], rules: Rules = Rules()) -> list[list[int]]:
@@ -143,8 +144,8 @@ def best_chains(x: list[int], y: list[int], rules: Rules = Rules()) -> list[list
     return out
 
 
-def cut_chains(x: list[int], y: list[int], rules: Rules = Rules()) -> Iterator[tuple[list[int], list[int]]]:
-    """Chains without wide gaps that can still grow to a passage."""
+def cut_chains(x: list[int], y: list[int], extent: list[int], rules: Rules = Rules()) -> Iterator[tuple[list[int], list[int], int]]:
+    """Chains without wide gaps that can still grow to a passage, and how far their last seed recurs."""
     least = rules.min_words - 2 * (SEED + WINDOW - 2)
     for path in best_chains(x, y, rules):
         start = 0
@@ -152,8 +153,9 @@ def cut_chains(x: list[int], y: list[int], rules: Rules = Rules()) -> Iterator[t
             if k == len(path) or max(x[path[k]] - x[path[k - 1]], y[path[k]] - y[path[k - 1]]) > SEED + rules.most_gap:
                 part = path[start:k]
                 start = k
-                if min(x[part[-1]] - x[part[0]], y[part[-1]] - y[part[0]]) + SEED >= least:
-                    yield [x[t] for t in part], [y[t] for t in part]
+                more = extent[part[-1]]
+                if min(x[part[-1]] - x[part[0]], y[part[-1]] - y[part[0]]) + more >= least:
+                    yield [x[t] for t in part], [y[t] for t in part], more - SEED
 
 
 def _matches(a: list[int], b: list[int]) -> int:
@@ -238,10 +240,11 @@ def _seed_rows(docs: DataFrame, text: str) -> DataFrame:
                     if len(seen) < SEEN:
                         seen.add(node)
             if new:
-                owner, at, h, first = seeds(strings(batch.column(1).take(pa.array(new))))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[new][owner]), pa.array(at, pa.int32()), pa.array(h), pa.array(first)], names=["node", "at", "seed", "first"])
+                owner, at, h, first, extent = seeds(strings(batch.column(1).take(pa.array(new))))
+                columns = [pa.array(nodes[new][owner]), pa.array(at, pa.int32()), pa.array(h), pa.array(first), pa.array(extent, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "at", "seed", "first", "extent"])
 
-    return docs.mapInArrow(run, "node long, at int, seed long, first boolean")
+    return docs.mapInArrow(run, "node long, at int, seed long, first boolean, extent int")
 
 
 def _chain_rows(ties: DataFrame, rules: Rules) -> DataFrame:
@@ -262,22 +265,22 @@ def _chain_rows(ties: DataFrame, rules: Rules) -> DataFrame:
             yield from chained(held, np.array([0, len(held)]))
 
     def chained(table: pa.Table, cuts: np.ndarray):
-        node, hub, x, y = (table.column(k).to_numpy() for k in range(4))
+        node, hub, x, y, extent = (table.column(k).to_numpy() for k in range(5))
         rows = []
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            px, py = x[s:e], y[s:e]
+            px, py, far = x[s:e], y[s:e], extent[s:e]
             if e - s > 1:  # copies in other tasks have brought the same ties
                 new = np.concatenate(([True], (np.diff(px) != 0) | (np.diff(py) != 0)))
-                px, py = px[new], py[new]
-            rows += [(int(node[s]), int(hub[s]), cx, cy) for cx, cy in cut_chains(px.tolist(), py.tolist(), rules)]
+                px, py, far = px[new], py[new], far[new]
+            rows += [(int(node[s]), int(hub[s]), *found) for found in cut_chains(px.tolist(), py.tolist(), far.tolist(), rules)]
         if rows:
             columns = list(zip(*rows, strict=True))
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], ints), pa.array(columns[3], ints)], names=["node", "hub", "x", "y"]
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), ints, ints, pa.int32()), strict=True)], names=["node", "hub", "x", "y", "more"]
             )
 
-    return ties.mapInArrow(run, "node long, hub long, x array<int>, y array<int>")
+    return ties.mapInArrow(run, "node long, hub long, x array<int>, y array<int>, more int")
 
 
 def _regions(asked: DataFrame) -> DataFrame:
@@ -330,13 +333,17 @@ def repeated(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id",
         F.col("words").alias("other_end"), F.col("words").alias("matched"), F.lit("copy").alias("kind"),
     )
     found = _seed_rows(docs.select(F.col(node).alias("node"), "text"), "text")
-    hubs = found.where("first").groupBy("seed").agg(F.min("node").alias("hub"), F.min_by("at", "node").alias("hub_at"), F.max("node").alias("last"))
-    hubs = cut(hubs.where("hub < last").drop("last"))
-    ties = found.join(hubs, "seed").where("node != hub").select("node", "hub", F.col("hub_at").alias("x"), F.col("at").alias("y"))
+    # The class where the seed recurs furthest, then one and the same order of classes for all seeds. Plain longs keep the aggregate hashed.
+    order = (F.shiftleft(F.col("extent").cast("long"), 40) + F.shiftrightunsigned("node", 24)).alias("order")
+    hubs = found.where("first").select("seed", "node", "at", order).groupBy("seed").agg(
+        F.max_by("node", "order").alias("hub"), F.max_by("at", "order").alias("hub_at"), F.min("node").alias("least"), F.max("node").alias("last")
+    )
+    hubs = cut(hubs.where("least < last").select("seed", "hub", "hub_at"))
+    ties = found.join(hubs, "seed").where("node != hub").select("node", "hub", F.col("hub_at").alias("x"), F.col("at").alias("y"), "extent")
     ties = ties.repartition("node", "hub").sortWithinPartitions("node", "hub", "x", "y")
     chains = cut(_chain_rows(ties, rules).withColumn("chain", F.xxhash64("node", "hub", F.element_at("x", 1), F.element_at("y", 1))))
     asked = [
-        chains.select("chain", F.lit(side).alias("side"), F.col(key).alias("node"), (F.element_at(at, 1) - rules.margin).alias("start"), (F.element_at(at, -1) + SEED + rules.margin).alias("end"))
+        chains.select("chain", F.lit(side).alias("side"), F.col(key).alias("node"), (F.element_at(at, 1) - rules.margin).alias("start"), (F.element_at(at, -1) + SEED + F.col("more") + rules.margin).alias("end"))
         for side, key, at in ((0, "node", "y"), (1, "hub", "x"))
     ]
     asked = asked[0].unionByName(asked[1]).join(classes.select("node", "place"), "node").drop("node")
