@@ -44,7 +44,7 @@ class Bands:
     )
     chunk_bytes: int = 4096
     #: Limits of a chunk; a text fails if more than ``chunk_share`` of its chunks are outside.
-    chunk: tuple[float, float] = (1.3, 4.0)
+    chunk: tuple[float, float] = (1.4, 4.0)
     chunk_share: float = 0.25
     level: int = 3
 
