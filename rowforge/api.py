@@ -87,6 +87,7 @@ class _Opened:
 
     def __init__(self, spark: SparkSession, path: str, o: Options):
         self.store, self.spooled = Store(spark), None
+        spark.conf.set("spark.sql.caseSensitive", "true")  # names in files are case-sensitive
         head = self.store.head(path, D.HEAD) if "*" not in path and not _is_folder(path) else b"PAR1"
         codec = o.input_compression or codecs.detect(head, path)
         self.path = path

@@ -49,9 +49,11 @@ def float_text(c: Column, negative_zero: bool = False) -> Column:
     plain = (magnitude >= F.lit(1e-6).cast("double")) & (magnitude < F.lit(1e21).cast("double"))
     text = F.when(plain, positional).otherwise(scientific)
     sign = F.when(c < 0, "-").otherwise("")
+    # From 1e-3 up to 1e7 the cast is positional already, but for a whole number's ".0"; only the rest is rebuilt.
+    usual = F.when(F.endswith(raw, F.lit(".0")), F.left(raw, F.length(raw) - 2)).otherwise(raw)
     zero = F.when(F.startswith(raw, F.lit("-")), "-0").otherwise("0") if negative_zero else F.lit("0")
     special = F.when(F.isnan(c), "NaN").when(magnitude == F.lit(float("inf")), F.when(c > 0, "+Inf").otherwise("-Inf"))
-    return special.when(c == 0, zero).when(c.isNotNull(), F.concat(sign, text))
+    return special.when(c == 0, zero).when(F.instr(raw, "E") == 0, usual).when(c.isNotNull(), F.concat(sign, text))
 
 
 def time_text(c: Column, dt: T.DataType, unit: str = "us") -> Column:

@@ -136,13 +136,17 @@ def entries(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame | Non
             continue
         seen.add(f.name)
         for k, a in enumerate(_leaves(F.col(f"c{i}"), f.dataType, f.metadata or {}, f.name, only)):
-            arrays.append(F.transform(a, lambda e, at=i * 10_000 + k: F.struct(F.lit(at).alias("position"), e["attribute"].alias("attribute"), e["text"].alias("text"))))
+            arrays.append(_placed(a, i * 10_000 + k))
     if not arrays:
         return None
     out = placed.select(F.explode(F.concat(*(F.coalesce(a, F.array().cast("array<struct<position:int,attribute:string,text:string>>")) for a in arrays))).alias("e")).select("e.*")
     return out.where(_condition(only)) if only else out
 
 
+def _placed(entries: Column, at: int) -> Column:
+    return F.transform(entries, lambda e: F.struct(F.lit(at).alias("position"), e["attribute"].alias("attribute"), e["text"].alias("text")))
+
+
 def _condition(only: Sequence[str]) -> Column:
     out = F.lit(False)
     for w in only:

@@ -65,7 +65,11 @@ def staged(df: DataFrame, stages: Stages, counts: bool = False) -> tuple[DataFra
             if counts and bound.misses is not None and not f.strict:
                 df, o = observed(df, misses=F.coalesce(F.sum(bound.misses), F.lit(0)))
                 out.misses.append(o)
-            df = df.filter(bound.match if counts else bound.keep)
+            keep = bound.match if counts else bound.keep
+            if counts and bound.unseen:
+                # A condition that folds to false would take the scan, and with it the counts, out of the plan.
+                keep = F.when(F.spark_partition_id() >= 0, keep).otherwise(True)
+            df = df.filter(keep)
         elif isinstance(f, Column):
             df = df.filter(F.coalesce(f, F.lit(False)))
         else:

@@ -84,11 +84,15 @@ def _nested(c: Column, dt: T.DataType, tree: dict, path: str) -> Column:
         for old, new in names.items():
             clash = F.map_contains_key(c, F.lit(old)) & F.map_contains_key(c, F.lit(new))
             message = F.lit(f'renaming "{path}.{old}": the entry "{new}" exists')
-            c = F.when(clash, F.raise_error(message).cast(dt)).otherwise(F.transform_keys(c, lambda k, v, old=old, new=new: F.when(k == old, F.lit(new)).otherwise(k)))
+            c = F.when(clash, F.raise_error(message).cast(dt)).otherwise(_renamed(c, old, new))
         return c
     return c
 
 
+def _renamed(c: Column, old: str, new: str) -> Column:
+    return F.transform_keys(c, lambda k, v: F.when(k == old, F.lit(new)).otherwise(k))
+
+
 def apply(df: DataFrame, rules: Sequence[Rename | Drop]) -> DataFrame:
     """``df`` with the rules applied in place; a path that is not there is left alone. Columns may end up with one name."""
     tree = compiled(rules)

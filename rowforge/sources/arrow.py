@@ -1,4 +1,4 @@
-"""Arrow IPC files as a Spark data source: a partition per record batch, Arrow batches all the way."""
+"""Arrow IPC files as a Spark data source: a partition for some record batches, Arrow batches all the way."""
 
 from __future__ import annotations
 
@@ -72,10 +72,15 @@ def _convert(column: pa.Array, target: pa.DataType) -> pa.Array:
     return column if column.type == target else column.cast(target, safe=False) if pa.types.is_timestamp(column.type) else column.cast(target)
 
 
+#: Bytes of a file that a partition takes, by whole record batches.
+PARTITION_BYTES = 16 << 20
+
+
 @dataclass
-class _Batch(InputPartition):
+class _Batches(InputPartition):
     path: str
-    number: int
+    first: int
+    end: int
 
 
 class _Reader(DataSourceReader):
@@ -83,14 +88,19 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [_Batch(p, i) for p in files(self.path) for i in range(_open(p).num_record_batches)] or [_Batch("", -1)]
-
-    def read(self, partition: _Batch) -> Iterator[pa.RecordBatch]:
-        if partition.number < 0:
-            return
-        batch = _open(partition.path).get_batch(partition.number)
-        columns = [_convert(c, _target(c.type)) for c in batch.columns]
-        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        out = []
+        for path in files(self.path):
+            n = _open(path).num_record_batches
+            step = max(1, n * PARTITION_BYTES // max(1, os.path.getsize(path)))
+            out += [_Batches(path, i, min(i + step, n)) for i in range(0, n, step)]
+        return out or [_Batches("", 0, 0)]
+
+    def read(self, partition: _Batches) -> Iterator[pa.RecordBatch]:
+        source = _open(partition.path) if partition.end else None
+        for i in range(partition.first, partition.end):
+            batch = source.get_batch(i)
+            columns = [_convert(c, _target(c.type)) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
 @dataclass

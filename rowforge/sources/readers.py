@@ -95,9 +95,15 @@ class _Summary:
     rows: int = 0
     bad: int = 0
     errors: list = field(default_factory=list)
+    known: set = field(default_factory=set)
 
     def add(self, pairs: J.Pairs) -> None:
         self.rows += 1
+        kinds = tuple([(name, type(value)) for name, value in pairs])
+        if kinds in self.known:
+            return
+        if len(self.known) < 1000 and not any(k in (list, J.Pairs) for _, k in kinds):
+            self.known.add(kinds)
         for name, value in pairs:
             found = J.shape(value)
             self.names[name] = J.merge(self.names.get(name), found) if name in self.names else found
@@ -173,7 +179,7 @@ def parse_ndjson(text: DataFrame, schema: T.StructType) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[n], types[n]) for n in schema.names], names=schema.names)
 
     out = text.select("value").mapInArrow(run, schema)
-    return out.select(*(F.col(f"`{f.name.replace('`', '``')}`").alias(f.name, metadata=f.metadata or {}) for f in schema.fields))
+    return out.select(*map(_named, schema.fields))
 
 
 def read_ndjson(spark: SparkSession, path: str | DataFrame, max_row_errors: int = 0, schema: T.StructType | None = None) -> Records:
@@ -193,7 +199,21 @@ def read_ndjson(spark: SparkSession, path: str | DataFrame, max_row_errors: int
     if len(s.layouts) > 1:
         ragged = "records have different fields, or the same in another order"
         fields.append(T.StructField(NAMES, T.ArrayType(T.StringType())))
-    return Records(parse_ndjson(text, T.StructType(fields)), "json", s.bad, s.errors, ragged)
+    schema = T.StructType(fields)
+    if not s.bad and ragged is None and fields and all(type(f.dataType) in _PLAIN for f in fields) and len({f.name.lower() for f in fields}) == len(fields):
+        # The survey has seen every line: all are objects of the same scalars, which Spark's parser reads alike.
+        value = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "[ \\t\\r]+$", "")
+        bare = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+        parsed = text.select(value.alias("value")).where("value != ''").select(F.from_json("value", bare).alias("v")).select("v.*")
+        return Records(parsed.select(*(_named(f) for f in fields)), "json")
+    return Records(parse_ndjson(text, schema), "json", s.bad, s.errors, ragged)
+
+
+_PLAIN = (T.BooleanType, T.LongType, T.DoubleType, T.StringType)
+
+
+def _named(f: T.StructField):
+    return F.col("`" + f.name.replace("`", "``") + "`").alias(f.name, metadata=f.metadata or {})
 
 
 # --- CSV and TSV -----------------------------------------------------------------------------------------
@@ -276,7 +296,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", header:
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     census = text.agg(F.count_if(quotes > 0).alias("quoted"), F.count_if(quotes % 2 == 1).alias("odd")).first()
     if census["odd"]:
-        records = spark.read.option("wholetext", True).text(path).mapInArrow(_parser(delimiter), "fields array<string>")
+        records = spark.read.text(path, wholetext=True).mapInArrow(_parser(delimiter), "fields array<string>")
     else:
         value = F.regexp_replace("value", "\r$", "")
         numbered = text.withColumn("at", F.monotonically_increasing_id())
