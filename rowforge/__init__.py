@@ -1,8 +1,8 @@
 """rowforge: convert, filter and profile record data on Spark."""
 
-from .api import Options, Stats, consume, detect_format, process, profile, read
+from .api import Options, Stats, consume, deliver, detect_format, process, profile, read
 from .operators.stages import Stages
 from .operators.transform import Drop, Rename
 from .plans.predicate import InvalidWhere, Predicate
 
-__all__ = ["Drop", "InvalidWhere", "Options", "Predicate", "Rename", "Stages", "Stats", "consume", "detect_format", "process", "profile", "read"]
+__all__ = ["Drop", "InvalidWhere", "Options", "Predicate", "Rename", "Stages", "Stats", "consume", "deliver", "detect_format", "process", "profile", "read"]

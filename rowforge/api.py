@@ -6,7 +6,7 @@ import logging
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from typing import Any
+from typing import IO, Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from .operators.stages import RecordTransform, RowFilter, Stages, staged
 from .operators.transform import Drop, Rename
 from .plans.predicate import Predicate
 from .session import ship
-from .sources import codecs, detect as D, readers, writers
+from .sources import codecs, detect as D, documents as documents_of, readers, writers
 from .sources.files import Store
 
 log = logging.getLogger("rowforge")
@@ -85,8 +85,13 @@ def detect_format(spark: SparkSession, path: str, options: Options | None = None
 class _Opened:
     """An input ready for Spark: plain bytes under a path, their format, and what to delete at the end."""
 
-    def __init__(self, spark: SparkSession, path: str, o: Options):
+    def __init__(self, spark: SparkSession, path: str | bytes | IO[bytes], o: Options):
         self.store, self.spooled = Store(spark), None
+        self._to_delete = []
+        if not isinstance(path, str):  # bytes, or anything with read(): spooled where Spark can reach it
+            source, path = path, self.store.scratch("input")
+            self.store.write(path, [source] if isinstance(source, (bytes, bytearray)) else iter(lambda: source.read(8 << 20), b""))
+            self._to_delete.append(path)
         spark.conf.set("spark.sql.caseSensitive", "true")  # names in files are case-sensitive
         head = self.store.head(path, D.HEAD) if "*" not in path and not _is_folder(path) else b"PAR1"
         codec = o.input_compression or codecs.detect(head, path)
@@ -104,8 +109,8 @@ class _Opened:
         return self
 
     def __exit__(self, *_) -> None:
-        if self.spooled:
-            self.store.delete(self.spooled.rpartition("/")[0])
+        for path in [*self._to_delete, *([self.spooled] if self.spooled else [])]:
+            self.store.delete(path.rpartition("/")[0])
 
 
 def _is_folder(path: str) -> bool:
@@ -164,6 +169,35 @@ def _pass_through(spark: SparkSession, opened: _Opened, out: str, o: Options) ->
     return Stats(rows_read=n, documents_dispatched=n, write_seconds=time.monotonic() - began)
 
 
+def deliver(spark: SparkSession, path: str | bytes | IO[bytes], handler: Callable[[bytes], None], options: Options | None = None) -> Stats:
+    """Give a file's rows to ``handler`` as documents: a JSON text per row, or a whole file per ``batch_size`` rows of any other format.
+
+    Documents are made on the executors and handed over on the driver, a partition at a time. Rows of an unchanged format
+    with nothing to do pass as they are: lines of NDJSON, CSV and TSV (without a header), row groups of Parquet.
+    """
+    o, began = options or Options(), time.monotonic()
+    ship(spark)
+    with _Opened(spark, path, o) as opened:
+        same = opened.format == o.output_format and not o.stages.any and o.max_row_errors <= 0
+        stats = Stats()
+        if same and opened.format in ("json", "csv", "tsv"):
+            documents = documents_of.raw_lines(readers.lines(spark, opened.path), opened.format != "json", o.csv_has_header)
+        elif same and opened.format == "parquet" and (groups := documents_of.row_groups(spark, opened.path)) is not None:
+            documents = groups
+        else:
+            records = _read(spark, opened, o)
+            df, counts = staged(records.df, o.stages)
+            staged_records = readers.Records(df, records.format, ragged=records.ragged if o.output_format != "json" else None)
+            stats.rows_skipped, stats.unseen_columns = records.skipped, counts.unseen
+            documents = documents_of.encoded(staged_records, o.output_format, o.batch_size if o.batch_size > 0 else 512, o.csv_delimiter, o.csv_has_header)
+        for row in documents.toLocalIterator():
+            handler(bytes(row["document"]))
+            stats.documents_dispatched += 1
+            stats.rows_read += row["rows"]
+        stats.write_seconds = time.monotonic() - began
+        return stats
+
+
 def consume(spark: SparkSession, path: str, partial: Callable[[Iterator[pa.RecordBatch]], Any], merge: Callable[[Any, Any], Any], options: Options | None = None) -> Any:
     """Decode and stage a file, give each partition's Arrow batches to ``partial`` and merge the small results in order.
 

@@ -196,3 +196,34 @@ def test_arrow_types(spark, tmp_path):
     assert r.count() == 3 and r.first()["s"] == datetime.datetime(1970, 1, 1, 0, 0, 5) and int(r.first()["u"]) == 1 << 63
     process(spark, path, str(tmp_path / "o.json"), Options(where="ns >= '2024-01-02T03:04:05.678900123Z' and u > 9223372036854775807"))
     assert json.loads(lines(tmp_path / "o.json")[0]) == {"u": 1 << 63, "s": "1970-01-01T00:00:05.000Z", "ns": "2024-01-02T03:04:05.678900123Z", "l": [{"k": "x", "v": 1}]}
+
+
+def test_documents(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from rowforge import deliver
+
+    source = b"".join(b'{"i":%d,"s":"x,%d"}\n' % (i, i) for i in range(25))
+
+    def documents(data, **options):
+        out = []
+        stats = deliver(spark, data, out.append, Options(**options))
+        assert stats.documents_dispatched == len(out)
+        return out, stats
+
+    out, stats = documents(source)
+    assert out == source.splitlines() and stats.rows_read == 25
+    out, _ = documents(source, where="i >= 20")
+    assert [json.loads(d)["i"] for d in out] == list(range(20, 25))
+    out, stats = documents(source, output_format="csv", batch_size=10, csv_has_header=True)
+    assert [len(d.splitlines()) for d in out] == [11, 10, 5] and out[0].startswith(b'i,s\n0,"x,0"\n') and stats.rows_read == 25
+    for fmt in ("parquet", "arrow"):
+        out, _ = documents(io.BytesIO(source), output_format=fmt, batch_size=10)
+        tables = [pq.read_table(io.BytesIO(d)) if fmt == "parquet" else pa.ipc.open_file(d).read_all() for d in out]
+        assert [t.num_rows for t in tables] == [10, 10, 5] and tables[2].column("i").to_pylist() == [20, 21, 22, 23, 24]
+    path = str(tmp_path / "g.parquet")
+    pq.write_table(pa.table({"z": list(range(9)), "a": list("abcdefghi")}), path, row_group_size=4)
+    out, _ = documents(path, output_format="parquet")
+    assert sorted(pq.read_table(io.BytesIO(d)).num_rows for d in out) == [1, 4, 4]
+    out, _ = documents(b"a,b\r\n1,2\r\n3,4\r\n", output_format="csv", csv_has_header=True)
+    assert out == [b"1,2\n", b"3,4\n"]
