@@ -41,7 +41,7 @@ BANDS, BAND_ROWS = 32, 5
 HASHES = BANDS * BAND_ROWS
 ROUND = 32
 #: Classes and shingles of a block.
-BLOCK_CLASSES, BLOCK_SHINGLES = 384, 200_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 128, 70_000
 
 
 @dataclass(frozen=True)
