@@ -290,3 +290,19 @@ def test_sparse_weights():
     assert 0 < len(m.buckets) < 60
     s = toxicity.scores([noise() + " nasty word", noise()], m.table(), m.bias)
     assert s[0] > 0.9 and s[1] < 0.2
+
+
+# --- plans -----------------------------------------------------------------------------------------------
+
+
+def test_native_plans_have_no_python(spark, sf):
+    for q in (mixing.op5_mix_to_weights, sharding.op9_feistel_shards):
+        plan = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin")), plan
+
+
+def test_texts_are_read_alone(spark, sf):
+    plan = near_duplicates.op2_bayes_jaccard(spark, sf)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan
+    plan = sharding.op9_feistel_shards(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
