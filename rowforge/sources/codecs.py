@@ -20,6 +20,7 @@ MAGIC = {
     "snappy": b"\xff\x06\x00\x00sNaPpY",
 }
 _BZIP2_BLOCKS = (b"1AY&SY", b"\x17\x72\x45\x38\x50\x90")
+#: Extensions of codecs, fixed values.
 EXTENSIONS = {
     ".gz": "gzip", ".gzip": "gzip", ".zst": "zstd", ".zstd": "zstd", ".bz2": "bzip2", ".bzip2": "bzip2",
     ".xz": "xz", ".lz4": "lz4", ".sz": "snappy", ".snappy": "snappy", ".br": "brotli",

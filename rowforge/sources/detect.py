@@ -11,6 +11,7 @@ from .files import Store
 
 log = logging.getLogger("rowforge")
 
+#: Names of formats and their extensions, fixed values.
 FORMATS = ("json", "parquet", "csv", "tsv", "arrow")
 EXTENSIONS = {".parquet": "parquet", ".csv": "csv", ".tsv": "tsv", ".arrow": "arrow", ".json": "json", ".ndjson": "json", ".jsonl": "json"}
 HEAD = 4096
