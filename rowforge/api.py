@@ -93,15 +93,16 @@ class _Opened:
             self.store.write(path, [source] if isinstance(source, (bytes, bytearray)) else iter(lambda: source.read(8 << 20), b""))
             self._to_delete.append(path)
         spark.conf.set("spark.sql.caseSensitive", "true")  # names in files are case-sensitive
-        head = self.store.head(path, D.HEAD) if "*" not in path and not _is_folder(path) else b"PAR1"
-        codec = o.input_compression or codecs.detect(head, path)
+        many = "*" in path or self.store.is_folder(path)  # parts of one format: the name or the options say which
+        head = b"" if many else self.store.head(path, D.HEAD)
+        codec = codecs.NONE if many else o.input_compression or codecs.detect(head, path)
         self.path = path
         if codec != codecs.NONE:
             self.path = self.spooled = self.store.scratch("plain")
             self.store.write(self.path, codecs.decompress(self.store.chunks(path), codec, o.max_decompressed_size or None))
             head = self.store.head(self.path, D.HEAD)
         named = D.by_extension(path)
-        self.format = o.input_format or (D.sniff(head, named, len(head) < D.HEAD) if head != b"PAR1" else named or "parquet")
+        self.format = o.input_format or (named or "parquet" if many else D.sniff(head, named, len(head) < D.HEAD))
         if named and named != self.format:
             log.info("%s is named like %s but holds %s", path, named, self.format)
 
@@ -113,12 +114,6 @@ class _Opened:
             self.store.delete(path.rpartition("/")[0])
 
 
-def _is_folder(path: str) -> bool:
-    import os
-
-    return os.path.isdir(path.removeprefix("file://"))
-
-
 def _read(spark: SparkSession, opened: _Opened, o: Options) -> readers.Records:
     records = readers.read(spark, opened.path, opened.format, o.csv_delimiter, o.csv_has_header, max(o.max_row_errors, 0))
     if o.on_skip:

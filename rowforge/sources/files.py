@@ -33,6 +33,12 @@ class Store:
         fs, where = self._hadoop(path)
         return fs.exists(where)
 
+    def is_folder(self, path: str) -> bool:
+        if local := self._local(path):
+            return os.path.isdir(local)
+        fs, where = self._hadoop(path)
+        return fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
     def size(self, path: str) -> int:
         if local := self._local(path):
             return os.path.getsize(local)
