@@ -28,6 +28,8 @@ WEIGHTS = (1, 2, 3)
 #: Bits of the hash that each pass resolves.
 BITS = 12
 HASH_BITS = 60
+#: Sources up to which a row per source (some 100 bytes) is broadcast; with more, the joins shuffle and split skewed sources.
+FEW_SOURCES = 50_000
 
 
 def _running(*by: str, order: Sequence[str]) -> Window:
@@ -65,10 +67,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = M
     return ranked.select("source", "source_size", F.when(F.col("__level").isNull() | (capped <= uncapped), capped).otherwise(uncapped).alias("target"))
 
 
-def thresholds(light: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(light: DataFrame, budgets: DataFrame, few: bool) -> DataFrame:
     """Where each source's remainder ends.
 
-    ``light``: source, size, hash, place. ``budgets``: source, remainder. Returns per source ``below`` (hashes
+    ``light``: source, size, hash, place. ``budgets``: source, remainder; ``few``: these are few. Returns per source ``below`` (hashes
     below are taken), ``at`` and ``place_below`` (rows of that hash are taken if their place hash is below).
     """
 
@@ -76,6 +78,7 @@ def thresholds(light: DataFrame, budgets: DataFrame) -> DataFrame:
         """The bucket in which each source's remainder ends, and what is left of it there."""
         sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
         sums = sums.withColumn("upto", F.sum("words").over(_running("source", order=["bucket"])))
+        left = F.broadcast(left) if few else left
         met = sums.join(left, sums["source"].eqNullSafe(left["__source"])).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
         return met.groupBy("__source").agg(F.min(F.struct("bucket", "upto", "words", "left")).alias("m")).select(
             "__source", F.col("m.bucket").alias("bucket"), (F.col("m.left") - (F.col("m.upto") - F.col("m.words"))).alias("left")
@@ -83,6 +86,7 @@ def thresholds(light: DataFrame, budgets: DataFrame) -> DataFrame:
 
     def inside(rows: DataFrame, met: DataFrame, bucket: Column) -> DataFrame:
         met = met.select("__source", "bucket")
+        met = F.broadcast(met) if few else met  # a row per source at most
         return rows.join(met, rows["source"].eqNullSafe(met["__source"]) & (bucket == met["bucket"])).select("source", "size", "hash", "place")
 
     high, low = (F.shiftright("hash", HASH_BITS - BITS * k) for k in (1, 2))
@@ -107,8 +111,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = MOST_R
     """``columns`` of ``docs`` (all, unless named) with the mix's columns, and the names those got.
 
     Two passes over the texts: one leaves a light table of sizes and hashes in the checkpoint folder, one applies
-    the thresholds. Tables with one row per source are joined by Spark's own choice, which broadcasts
-    them only after seeing their size.
+    the thresholds. Tables with one row per source are broadcast if these were counted to be few, else joined
+    by a shuffle that splits hot sources.
     """
     names = dict(zip(("size", "source_size", "target", "times", "hash", "place", "match"), fresh("size", "source_size", "target", "times", "hash", "place", "match"), strict=True))
     size, hashed, place = n_words(F.col("text")), F.col(names["hash"]), F.col(names["place"])
@@ -119,9 +123,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = MOST_R
     goals = targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = cut(goals.withColumn("whole", whole).withColumn("remainder", F.col("target") - F.col("whole") * F.col("source_size")))
-    ends = thresholds(light, goals.select("source", "remainder"))
+    few = goals.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    ends = thresholds(light, goals.select("source", "remainder"), few)
     goals = goals.join(ends, F.col("source").eqNullSafe(F.col("__source")), "left")
     goals = cut(goals.select(F.col("source").alias(names["match"]), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), "whole", "at", "place_below"))
+    goals = F.broadcast(goals) if few else goals
     out = rows.join(goals, rows["source"].eqNullSafe(goals[names["match"]]))
     once_more = (hashed < F.col("at")) | ((hashed == F.col("at")) & (F.shiftright(names["place"], 64 - 2 * BITS) < F.coalesce(F.col("place_below"), F.lit(0))))
     out = out.withColumn(names["times"], F.when(F.col(names["size"]) > 0, F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("long")).otherwise(0))
