@@ -45,6 +45,27 @@ def loads(text: str):
     return value
 
 
+_QUICK = json.JSONDecoder(parse_int=_integer, parse_constant=_constant, strict=True)
+_SCALARS = {type(None), bool, int, float, str}
+
+
+def flat_kinds(text: str) -> tuple | None:
+    """Names and types of a record without inner objects or lists; None if it may be anything else.
+
+    A plain dict hides repeated names, but then the text has more quotes than the dict's names and strings need.
+    """
+    try:
+        value, end = _QUICK.raw_decode(text)
+    except (ValueError, RecursionError):
+        return None
+    if type(value) is not dict or end != len(text):
+        return None
+    types = tuple(map(type, value.values()))
+    if not _SCALARS.issuperset(types) or text.count('"') != 2 * (len(types) + types.count(str)):
+        return None
+    return tuple(value), types
+
+
 def record(text: str) -> Pairs:
     value = loads(text)
     if not isinstance(value, Pairs):

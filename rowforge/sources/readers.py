@@ -119,11 +119,18 @@ def _summaries(df: DataFrame, keep_errors: int) -> list[_Summary]:
     """One per partition, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _Summary()
+        s, met = _Summary(), set()
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 if not (line := _line(raw, False)):
                     continue
+                kinds = J.flat_kinds(line)
+                if kinds is not None:
+                    if kinds in met:
+                        s.rows += 1
+                        continue
+                    if len(met) < 1000:
+                        met.add(kinds)
                 try:
                     s.add(J.record(line))
                 except J.BadJson as e:

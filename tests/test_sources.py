@@ -227,3 +227,11 @@ def test_documents(spark, tmp_path):
     assert sorted(pq.read_table(io.BytesIO(d)).num_rows for d in out) == [1, 4, 4]
     out, _ = documents(b"a,b\r\n1,2\r\n3,4\r\n", output_format="csv", csv_has_header=True)
     assert out == [b"1,2\n", b"3,4\n"]
+
+
+def test_flat_records_are_told_from_others():
+    from rowforge.sources.jsonvalues import flat_kinds
+
+    assert flat_kinds('{"a": 1, "b":"x", "c":null}') == (("a", "b", "c"), (int, str, type(None)))
+    for text in ('{"a" : 1,"a":2}', '{"a":1,"a":1}', '{"a":[1]}', '{"a":{}}', '{"a":1} x', '[1]', '{"a":}', '{"a":"q\\"q"}'):
+        assert flat_kinds(text) is None, text
