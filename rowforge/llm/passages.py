@@ -1,13 +1,13 @@
 """Substring dedup by collinear chaining: passages that repeat across documents, exactly or nearly.
 
 1. Texts are classes by hash: a copy is told by its class and takes no further part.
-2. Seeds are minimizers: of every 12 neighbouring runs of 8 words the one of least hash. Any 19 words that two texts
+2. Seeds are minimizers: of every 7 neighbouring runs of 5 words the one of least hash. Any 11 words that two texts
    share hold a shared seed.
 3. Each seed is tied to one class that has it, the first in an order of classes, so a passage of m texts gives m - 1 ties, not m squared.
    Ties of a pair of texts, a pair of word positions each, are chained: a Fenwick tree over the positions in one
    text gives each tie its best predecessor under a gap cost linear in both distances.
-4. Chains are aligned word by word, between seeds and beyond their ends; a passage is kept if it has at least
-   50 words in both texts and 80 % of them match in order.
+4. Chains, single seeds too, are aligned word by word, between seeds and beyond their ends; a passage is kept if it has
+   at least 50 words in both texts and 80 % of them match in order. Its ends are where matches last outweigh edits.
 
 A row is a passage of a document with its counterpart. Copies have one row each, for the whole text, against the class's first
 document; the other rows name the first documents of their classes.
@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, fresh, map_batches, n_words, pieces, strings
 
-SEED = 8
-WINDOW = 12
+SEED = 5
+WINDOW = 7
 #: Digests of texts that a task remembers in order to skip copies.
 SEEN = 50_000
 
@@ -47,8 +47,8 @@ class Rules:
     gap_cost: float = 0.1
     #: A chain is cut where its seeds are further apart.
     most_gap: int = 40
-    #: Words beyond a chain's ends that may belong to its passage; longer exact ones would hold a seed.
-    margin: int = 30
+    #: Words beyond a chain's ends that may belong to its passage: one seed may stand at either end of the least passage.
+    margin: int = 60
 
 
 _P = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -145,8 +145,7 @@ def best_chains(x: list[int], y: list[int], rules: Rules = Rules()) -> list[list
 
 
 def cut_chains(x: list[int], y: list[int], extent: list[int], rules: Rules = Rules()) -> Iterator[tuple[list[int], list[int], int]]:
-    """Chains without wide gaps that can still grow to a passage, and how far their last seed recurs."""
-    least = rules.min_words - 2 * (SEED + WINDOW - 2)
+    """Chains without wide gaps, and how far their last seed recurs; how far one grows is for the alignment to say."""
     for path in best_chains(x, y, rules):
         start = 0
         for k in range(1, len(path) + 1):
@@ -154,8 +153,7 @@ def cut_chains(x: list[int], y: list[int], extent: list[int], rules: Rules = Rul
                 part = path[start:k]
                 start = k
                 more = extent[part[-1]]
-                if min(x[part[-1]] - x[part[0]], y[part[-1]] - y[part[0]]) + more >= least:
-                    yield [x[t] for t in part], [y[t] for t in part], more - SEED
+                yield [x[t] for t in part], [y[t] for t in part], more - SEED
 
 
 def _matches(a: list[int], b: list[int]) -> int:
@@ -351,7 +349,8 @@ def repeated(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id",
     side = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
     regions = regions.groupBy("chain").agg(side(0, "begin").alias("b0"), side(0, "codes").alias("bc"), side(1, "begin").alias("a0"), side(1, "codes").alias("ac"))
     both = chains.join(regions, "chain").select("node", "hub", "x", "y", "b0", "bc", "a0", "ac")
-    near = _aligned(both, rules).join(classes.select("node", "id"), "node").join(classes.select(F.col("node").alias("hub"), F.col("id").alias("other")), "hub")
+    # Parts of one passage may grow into the same one.
+    near = _aligned(both, rules).distinct().join(classes.select("node", "id"), "node").join(classes.select(F.col("node").alias("hub"), F.col("id").alias("other")), "hub")
     near = near.select("id", "other", "start_word", "end_word", "other_start", "other_end", "matched", F.lit("passage").alias("kind"))
     longer = F.greatest(F.col("end_word") - F.col("start_word"), F.col("other_end") - F.col("other_start"))
     return near.unionByName(copies).withColumn("similarity", F.col("matched") / longer).withColumnsRenamed({"id": id_column, "other": f"other_{id_column}"})

@@ -242,6 +242,23 @@ def test_passages(make, nothing):
     assert passages.repeated(nothing).count() == 0
 
 
+def test_fuzzy_passages_are_found(make):
+    rng = random.Random(80)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    rows, total = [], 0
+    for words, every in ((60, 10), (75, 7), (100, 6), (60, 7)):  # 90, 86, 83 and 86 % match; no 8 words in a row do in the last three
+        for _ in range(10):
+            old = text(words)
+            new = [word() if i % every == every - 2 and i < words - 3 else w for i, w in enumerate(old)]
+            rows += [(2 * total, " ".join(text(70) + old + text(70)), "f"), (2 * total + 1, " ".join(text(80) + new + text(60)), "f")]
+            total += 1
+    got = passages.repeated(make(rows)).toPandas()
+    pairs = {tuple(sorted(p)) for p in zip(got["doc_id"], got["other_doc_id"], strict=True)}
+    assert pairs <= {(2 * i, 2 * i + 1) for i in range(total)}
+    assert len(pairs) >= 0.95 * total
+
+
 # --- 3 and 7: classifiers --------------------------------------------------------------------------------
 
 
