@@ -35,9 +35,15 @@ class Bands:
 
     #: (bytes below which the row holds, least ratio, most ratio); texts beyond the last row have its limits.
     whole: tuple[tuple[float, float, float], ...] = (
-        (128, 0.0, 3.0),
-        (512, 0.9, 3.0),
-        (2048, 1.2, 3.5),
+        (128, 0.0, 3.0),  # prose and encoded text shrink alike
+        (160, 1.0, 3.0),
+        (200, 1.06, 3.0),
+        (256, 1.11, 3.0),
+        (320, 1.15, 3.0),
+        (400, 1.18, 3.0),
+        (512, 1.22, 3.0),
+        (1024, 1.3, 3.5),
+        (2048, 1.35, 3.5),
         (8192, 1.4, 4.0),
         (65536, 1.5, 5.0),
         (float("inf"), 1.5, 6.0),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowforge.llm import graph, mixing, near_duplicates, passages, quality_classifier, sharding, toxicity
+from rowforge.llm import graph, mixing, near_duplicates, passages, quality_classifier, quality_rules, sharding, toxicity
 
 from .conftest import ODD
 
@@ -259,6 +259,22 @@ def test_fuzzy_passages_are_found(make):
     assert len(pairs) >= 0.95 * total
 
 
+# --- 4: short encoded texts ----------------------------------------
+
+
+def test_short_encoded_texts_are_not_kept():
+    rng, rules = random.Random(4), quality_rules.Rules(quality_rules.Bands())
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    encoded = [" ".join("".join(rng.choice(digits) for _ in range(size)) for _ in range(25)) for size in (9, 11, 17, 24, 35)]
+    assert [len(t) for t in encoded] == [249, 299, 449, 624, 899]
+    assert not rules.score(encoded)["base_failed"].any() and not rules.score(encoded)["kept"].any()
+    prose = [
+        "The old harbour lay quiet in the morning while two fishermen mended their nets and talked about the storm that had kept every boat at home for most of the week, until the bells of the church rang for noon.",
+        "Am Rand der kleinen Stadt steht ein Haus, in dem seit vielen Jahren niemand mehr wohnt; nur der Wind geht durch die leeren Zimmer, und im Garten wachsen die Rosen wild an der Mauer bis unter das Dach.",
+    ]
+    assert rules.score(prose)["kept"].all()
+
+
 # --- 3 and 7: classifiers --------------------------------------------------------------------------------
 
 
