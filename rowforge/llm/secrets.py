@@ -33,8 +33,11 @@ _ASSIGN_HINT = re.compile(r"""[A-Za-z]["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]"
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
-#: A base64 run, perhaps over lines of an armoured key.
-BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+#: A line's end, itself or written as an escape, with the indentation around it.
+_BREAK = r"[\x20\t]*(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*"
+BREAK = re.compile(_BREAK)
+#: A base64 run, perhaps over lines of an armoured key; the letter of an escape is not its first digit.
+BASE64 = re.compile(rf"(?!(?<=\\)[nrt])[A-Za-z0-9+/]{{32,}}(?:{_BREAK}[A-Za-z0-9+/]+)*={{0,2}}")
 HEX_BYTES = re.compile(r"(?:[0-9a-f]{64,}|[0-9A-F]{64,})")
 
 Span = tuple[int, int, str]
@@ -130,7 +133,7 @@ def is_signed_token(header: str, payload: str) -> bool:
 
 
 def _decoded(run: str) -> bytes:
-    body = run.replace("\r", "").replace("\n", "").rstrip("=")
+    body = BREAK.sub("", run).rstrip("=")
     if len(body) % 4 == 1:
         return b""
     try:
@@ -139,6 +142,11 @@ def _decoded(run: str) -> bytes:
         return b""
 
 
+def _key_kind(run: str) -> str:
+    data = _decoded(run)
+    return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else ""
+
+
 def base_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if (":" in text or "=" in text) and _ASSIGN_HINT.search(text):
@@ -152,19 +160,19 @@ def confirmed_spans(text: str) -> list[Span]:
     """Candidates whose decoded structure is that of a key or a signed token."""
     out: list[Span] = []
     for m in BASE64.finditer(text):
-        data = _decoded(m[0])
-        if kind := "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else "":
-            out.append((*m.span(), kind))
-        elif "\n" in m[0]:  # perhaps a key on one line beside other long words
-            for line in re.finditer(r"[A-Za-z0-9+/]{32,}={0,2}", m[0]):
-                data = _decoded(line[0])
-                if kind := "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else "":
-                    out.append((m.start() + line.start(), m.start() + line.end(), kind))
+        breaks = [b.span() for b in BREAK.finditer(m[0])]
+        whole = [(0, len(m[0])), *([(0, breaks[-1][0])] if breaks else [])]  # perhaps a word stands on the line after the key
+        if found := next(((b, kind) for _, b in whole if (kind := _key_kind(m[0][:b]))), None):
+            out.append((m.start(), m.start() + found[0], found[1]))
+        elif breaks:  # perhaps a key on one line beside other long words
+            for a, b in zip([0, *(e for _, e in breaks)], [*(s for s, _ in breaks), len(m[0])], strict=True):
+                if b - a >= 32 and (kind := _key_kind(m[0][a:b])):
+                    out.append((m.start() + a, m.start() + b, kind))
     for m in HEX_BYTES.finditer(text):
         data = bytes.fromhex(m[0][: len(m[0]) // 2 * 2])
         if kind := "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else "":
             out.append((*m.span(), kind))
-    if "." in text and "eyJ" in text:
+    if "." in text:
         out += [(*m.span(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
     return out
 

@@ -1,5 +1,6 @@
 """Operators that look at the corpus as a whole, against brute force."""
 
+import base64
 import collections
 import random
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowforge.llm import graph, mixing, near_duplicates, passages, quality_classifier, quality_rules, sharding, toxicity
+from rowforge.llm import graph, mixing, near_duplicates, passages, quality_classifier, quality_rules, secrets, sharding, toxicity
 
 from .conftest import ODD
 
@@ -259,7 +260,7 @@ def test_fuzzy_passages_are_found(make):
     assert len(pairs) >= 0.95 * total
 
 
-# --- 4: short encoded texts ----------------------------------------
+# --- 4 and 10: short encoded texts, keys and tokens in other layouts ----------------------------------------
 
 
 def test_short_encoded_texts_are_not_kept():
@@ -275,6 +276,21 @@ def test_short_encoded_texts_are_not_kept():
     assert rules.score(prose)["kept"].all()
 
 
+def test_keys_and_tokens_in_other_layouts():
+    rng = random.Random(10)
+    inner = b"\x02\x01\x00" + b"\x30\x0d\x06\x09\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01\x05\x00" + b"\x04\x82\x02\x00" + rng.randbytes(512)
+    body = base64.b64encode(b"\x30\x82" + len(inner).to_bytes(2, "big") + inner).decode()
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    for glue in ("\n", "\r\n", "\n    ", "\n\t", "\\n", "\\r\\n"):
+        text = glue.join(["key: -----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY----- after"])
+        start, end = text.index(lines[0]), text.index(lines[-1]) + len(lines[-1])
+        assert (start, end, "der") in secrets.scan(text)[1], repr(glue)
+        assert not any(line in secrets.redacted(text, secrets.scan(text)[1]) for line in lines)
+    for header in (b'{"alg":"HS256"}', b'{ "alg": "HS256" }', b'{\n  "alg": "HS256"\n}'):
+        token = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (header, b'{ "sub": 1}', rng.randbytes(32)))
+        assert (5, 5 + len(token), "jwt") in secrets.scan(f"send {token} now")[1], header
+
+
 # --- 3 and 7: classifiers --------------------------------------------------------------------------------
 
 
