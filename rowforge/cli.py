@@ -48,9 +48,9 @@ def parser() -> argparse.ArgumentParser:
 
 def _options(a: argparse.Namespace, **more) -> api.Options:
     if a.where is not None and not a.where.strip():
-        raise ValueError("--where is empty: give a predicate, or omit the flag")
+        raise ValueError("--where has no predicate")
     if a.where_strict and a.where is None:
-        raise ValueError("--where-strict needs --where")
+        raise ValueError("--where-strict says how --where acts, which is missing")
     return api.Options(
         input_format=a.in_format or None, input_compression=a.in_compression or None, csv_delimiter=a.csv_delimiter or None, csv_has_header=a.csv_has_header,
         max_row_errors=a.max_row_errors, where=a.where, where_strict=a.where_strict, workers=a.workers, batch_size=a.batch_size, chunk_size=a.chunk_size,
@@ -60,9 +60,9 @@ def _options(a: argparse.Namespace, **more) -> api.Options:
 
 def _warn(where: str | None, misses: int, unseen: list[str]) -> None:
     if misses:
-        print(f'warning: {misses} comparisons in --where "{where}" found a value of the wrong type and did not match (use --where-strict to fail instead)', file=sys.stderr)
+        print(f'warning: {misses} values could not be compared as --where "{where}" asks and matched nothing (--where-strict makes that an error)', file=sys.stderr)
     for name in unseen:
-        print(f'warning: --where "{where}" compares column "{name}", which no record had', file=sys.stderr)
+        print(f'warning: no record has the column "{name}" of --where "{where}"', file=sys.stderr)
 
 
 def session(workers: int = 0) -> SparkSession:
@@ -97,7 +97,7 @@ def stats(a: argparse.Namespace, spark: SparkSession) -> None:
     _warn(a.where, 0, p.unseen_columns)
     for want in columns or ():
         if not any(c.name == want or c.name.startswith(want + ".") for c in p.columns):
-            print(f'warning: --columns "{want}" matched no attribute', file=sys.stderr)
+            print(f'warning: no attribute is called "{want}" (--columns)', file=sys.stderr)
     print(P.as_json(p) if a.output == "json" else P.render(p, a.input, a.max_value_width), end="" if a.output == "table" else "\n")
 
 

@@ -24,11 +24,11 @@ _INVERSE = {"=": "!=", "!=": "=", "<": ">=", "<=": ">", ">": "<=", ">=": "<"}
 _WHOLE_TEXT = r"^[+-]?[0-9]+$"
 _PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-NOT_NUMBER = "is not a number"
-CONTAINER = "is a list or map"
-BOOLEAN = "is a boolean, not a number"
-NOT_BOOLEAN = "is not true or false"
-TEMPORAL = "is a date or timestamp: compare it with a quoted ISO-8601 string"
+NOT_NUMBER = "does not spell a number"
+CONTAINER = "holds several values"
+BOOLEAN = "is true or false"
+NOT_BOOLEAN = "is neither true nor false"
+TEMPORAL = "is a point in time, which only a quoted date or time can be compared with"
 
 
 def _apply(op: str, left: Column, right: Column) -> Column:
@@ -126,10 +126,12 @@ def _date_like(value: Value, op: str, text: str) -> tuple[Column, Column] | None
     if not isinstance(value.type, (T.TimestampType, T.TimestampNTZType)) or not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", text):
         return None
     bound = F.lit(text).try_cast(value.type.simpleString())
+    # Years beyond four digits have texts with a sign, which stands ahead of all digits; those before the year 1 come first either way.
+    four = value.column <= F.lit("9999-12-31 23:59:59.999999").try_cast(value.type.simpleString())
     if op in (">", ">="):
-        return value.column >= bound, value.column < bound
+        return (value.column >= bound) & four, (value.column < bound) | ~four
     if op in ("<", "<="):
-        return value.column < bound, value.column >= bound
+        return (value.column < bound) | ~four, (value.column >= bound) & four
     return None
 
 
@@ -147,7 +149,6 @@ def _compare_text(value: Value, op: str, text: str) -> Test:
     exact = _apply(op, value.text, literal)
     test = Test(_sure(exact), positive=exact)
     if _valid_date(text) and (forms := _date_like(value, op, text)):
-        # Beyond the years of four digits text order and time order part; those rows keep the comparison of texts.
         test.positive, test.negative = forms[0], forms[1] | value.column.isNull()
         test.true = _sure(forms[0])
     return test
@@ -351,7 +352,7 @@ class Predicate:
         out = None
         for when, why, *literal in test.reasons:
             against = literal[0] if literal else node.literal if isinstance(node, Compare) else f"'{node.text}'"
-            message = f'value cannot be compared: column "{".".join(node.path)}" {why}, and the expression compares it with {against}'
+            message = f'a value of {".".join(node.path)} {why}; it cannot be held against {against}'
             failing = F.raise_error(F.lit(message)).cast("boolean")
             out = F.when(when, failing) if out is None else out.when(when, failing)
         return out.otherwise(test.true)

@@ -12,13 +12,26 @@ Keywords are case-insensitive, names are not.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from dataclasses import dataclass
+from typing import NamedTuple
 
 MAX_BYTES = 1 << 16
 MAX_DEPTH = 64
 
+# The language's operators, escapes and the form of its numbers.
+_ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
+_NUMBER = re.compile(r"-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+_SPELLED = re.compile(
+    r"""(?P<space>[ \t\r\n]+) | (?P<name>[^\W\d][\w-]*) | (?P<number>[0-9-](?:[A-Za-z0-9._]|(?<=[eE])[+-])*)
+      | (?P<op>[=!<>]=|[=<>]) | (?P<mark>[(),.]) | (?P<quote>['"`])""",
+    re.VERBOSE,
+)
+_INSIDE = {q: re.compile(rf"(?:[^{q}\\]|\\.)*", re.DOTALL) for q in "'\""}
+_BAD_ESCAPE = re.compile(r"""(?:[^\\]|\\[nt\\'"])*?(\\[^nt\\'"])""", re.DOTALL)
+
 
 class InvalidWhere(ValueError):
     """A predicate that does not parse; the message names the column (in characters, from 1)."""
@@ -83,224 +96,193 @@ class Or:
 Node = Compare | In | Empty | TextTest | Not | And | Or
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
+    #: name, quoted (a name), string, number, op, end, or the mark itself
     kind: str
     text: str
     at: int
 
-    def __str__(self) -> str:
-        return "end of expression" if self.kind == "end" else self.text
-
-
-_ESCAPES = {"n": "\n", "t": "\t", "\\": "\\", "'": "'", '"': '"'}
-_NUMBER = re.compile(r"-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
-_MARKS = {"(": "open", ")": "close", ",": "comma", ".": "dot"}
-_OPERATORS = ("==", "!=", "<=", ">=", "=", "<", ">")
-
 
 def _fail(at: int, message: str) -> InvalidWhere:
     return InvalidWhere(f"syntax error at column {at + 1}: {message}")
 
 
-def _starts_name(ch: str) -> bool:
-    return ch == "_" or unicodedata.category(ch)[0] == "L"
+def _seen(token: Token) -> str:
+    return "the expression ends" if token.kind == "end" else f"there is {token.text!r}"
+
 
+def _letters(word: str) -> int:
+    """How many characters of a run of word characters a name may have: letters and decimal digits of any script."""
+    return next((i for i, ch in enumerate(word) if not (ch in "_-" or unicodedata.category(ch)[0] == "L" or i and unicodedata.category(ch) == "Nd")), len(word))
 
-def _in_name(ch: str) -> bool:
-    return _starts_name(ch) or ch == "-" or unicodedata.category(ch) == "Nd"
+
+def _quoted(text: str, start: int) -> tuple[Token, int]:
+    quote = text[start]
+    if quote == "`":
+        end = text.find(quote, start + 1)
+        if end < 0:
+            raise _fail(start, "a backtick opens a name that none closes")
+        return Token("quoted", text[start + 1 : end], start), end + 1
+    inside = _INSIDE[quote].match(text, start + 1)
+    if bad := _BAD_ESCAPE.match(inside[0]):
+        raise _fail(start + 1 + bad.start(1), f"{bad[1]} is no escape; those are \\n \\t \\\\ \\' \\\"")
+    if text[inside.end() : inside.end() + 1] != quote:
+        raise _fail(start, "this string is never closed")
+    return Token("string", re.sub(r"\\(.)", lambda m: _ESCAPES[m[1]], inside[0], flags=re.DOTALL), start), inside.end() + 1
 
 
 def tokens(text: str) -> list[Token]:
     try:
         size = len(text.encode())
     except UnicodeEncodeError as e:
-        raise _fail(e.start, "invalid UTF-8") from None
+        raise _fail(e.start, "not a Unicode character") from None
     if size > MAX_BYTES:
-        raise _fail(0, f"expression is {size} bytes, over the {MAX_BYTES} byte limit")
-    out, i = [], 0
-    while i < len(text):
-        ch = text[i]
-        if ch in " \t\r\n":
-            i += 1
-        elif ch in _MARKS:
-            out.append(Token(_MARKS[ch], ch, i))
-            i += 1
-        elif ch == "`":
-            end = text.find("`", i + 1)
-            if end < 0:
-                raise _fail(i, "unterminated quoted name")
-            out.append(Token("quoted", text[i + 1 : end], i))
-            i = end + 1
-        elif ch in "'\"":
-            value, end = _string(text, i)
-            out.append(Token("string", value, i))
-            i = end
-        elif ch.isascii() and ch.isdigit() or ch == "-":
-            j = i + 1
-            while j < len(text) and (text[j].isascii() and text[j].isalnum() or text[j] in "._" or text[j] in "+-" and text[j - 1] in "eE"):
-                j += 1
-            out.append(Token("number", text[i:j], i))
-            i = j
-        elif _starts_name(ch):
-            j = i + 1
-            while j < len(text) and _in_name(text[j]):
-                j += 1
-            out.append(Token("name", text[i:j], i))
-            i = j
-        elif ch in "=!<>":
-            op = next((o for o in _OPERATORS if text.startswith(o, i)), None)
-            if op is None:
-                raise _fail(i, f'unknown operator "{ch}"')
-            out.append(Token("op", op, i))
-            i += len(op)
-        else:
-            raise _fail(i, f'unexpected character "{ch}"')
+        raise _fail(0, f"{size} bytes are more than the limit of {MAX_BYTES}")
+    out, at = [], 0
+    while at < len(text):
+        found = _SPELLED.match(text, at)
+        kind = found.lastgroup if found else None
+        length = _letters(found[0]) if kind == "name" else len(found[0]) if found else 0
+        if not length:
+            raise _fail(at, f"{text[at]!r} has no meaning here")
+        if kind == "quote":
+            token, at = _quoted(text, at)
+            out.append(token)
+            continue
+        if kind != "space":
+            out.append(Token(found[0] if kind == "mark" else kind, found[0][:length], at))
+        at += length
     return [*out, Token("end", "", len(text))]
 
 
-def _string(text: str, start: int) -> tuple[str, int]:
-    quote, out, i = text[start], [], start + 1
-    while i < len(text):
-        ch = text[i]
-        if ch == quote:
-            return "".join(out), i + 1
-        if ch == "\\" and i + 1 < len(text):
-            if text[i + 1] not in _ESCAPES:
-                raise _fail(i, f"unknown escape \\{text[i + 1]}")
-            out.append(_ESCAPES[text[i + 1]])
-            i += 2
-        else:
-            out.append(ch)
-            i += 1
-    raise _fail(start, "unterminated string")
-
-
-class _Parser:
-    def __init__(self, text: str):
-        self.tokens, self.i = tokens(text), 0
-
-    @property
-    def now(self) -> Token:
-        return self.tokens[self.i]
-
-    def take(self) -> Token:
-        token = self.now
-        if token.kind != "end":
-            self.i += 1
-        return token
-
-    def is_word(self, word: str) -> bool:
-        return self.now.kind == "name" and self.now.text.lower() == word
-
-    def word(self, word: str) -> bool:
-        found = self.is_word(word)
-        self.i += found
-        return found
-
-    def whole(self) -> Node:
-        node = self.either(0)
-        if self.now.kind != "end":
-            raise _fail(self.now.at, f'unexpected "{self.now.text}" after the expression')
-        return node
-
-    def either(self, depth: int) -> Node:
-        node = self.both(depth)
-        while self.word("or"):
-            node = Or(node, self.both(depth))
-        return node
-
-    def both(self, depth: int) -> Node:
-        node = self.negated(depth)
-        while self.word("and"):
-            node = And(node, self.negated(depth))
-        return node
-
-    def negated(self, depth: int) -> Node:
-        if depth > MAX_DEPTH:
-            raise _fail(self.now.at, f"expression nests deeper than {MAX_DEPTH}")
-        if self.is_word("not"):
-            if self.tokens[self.i + 1].kind in ("op", "dot"):
-                raise _fail(self.now.at, "not is a keyword: write `not` in backticks to use it as a column name")
-            self.take()
-            return Not(self.negated(depth + 1))
-        if self.now.kind == "open":
-            self.take()
-            node = self.either(depth + 1)
-            if (token := self.take()).kind != "close":
-                raise _fail(token.at, f'expected ) but found "{token}"')
-            return node
-        return self.test(self.path())
-
-    def path(self) -> tuple[str, ...]:
-        token = self.take()
-        if token.kind not in ("name", "quoted"):
-            raise _fail(token.at, f'expected a column name but found "{token}"')
-        out = [token.text]
-        while self.now.kind == "dot":
-            self.take()
-            token = self.take()
-            if token.kind not in ("name", "quoted"):
-                raise _fail(token.at, f'expected a name after . but found "{token}"')
-            out.append(token.text)
-        return tuple(out)
-
-    def test(self, path: tuple[str, ...]) -> Node:
-        token = self.now
-        if token.kind == "op":
-            self.take()
-            literal = self.literal()
-            if literal.kind == "bool" and token.text not in ("=", "==", "!="):
-                raise _fail(token.at, f"{token.text} cannot compare true or false: use = or !=")
-            return Compare(path, "=" if token.text == "==" else token.text, literal)
-        if self.word("is"):
-            negate = self.word("not")
-            if not self.word("empty"):
-                raise _fail(self.now.at, "expected empty after is")
-            return Empty(path, negate)
-        if self.is_word("not"):
-            self.take()
-            if not self.word("in"):
-                raise _fail(self.now.at, "expected in after not")
-            return In(path, self.literals(), True)
-        if self.word("in"):
-            return In(path, self.literals(), False)
-        for op in ("contains", "starts_with"):
-            if self.word(op):
-                value = self.take()
-                if value.kind != "string":
-                    raise _fail(value.at, f'expected a quoted string but found "{value}"')
-                return TextTest(path, op, value.text)
-        raise _fail(token.at, f'expected a comparison after the column name but found "{token}"')
-
-    def literals(self) -> tuple[Literal, ...]:
-        if (token := self.take()).kind != "open":
-            raise _fail(token.at, f'expected ( after in but found "{token}"')
-        out = []
-        while True:
-            out.append(self.literal())
-            token = self.take()
-            if token.kind == "close":
-                return tuple(out)
-            if token.kind != "comma":
-                raise _fail(token.at, f'expected , or ) but found "{token}"')
-
-    def literal(self) -> Literal:
-        token = self.take()
-        if token.kind == "string":
-            return Literal("string", token.text)
-        if token.kind == "number":
-            if not _NUMBER.fullmatch(token.text) or abs(value := float(token.text)) == float("inf"):
-                raise _fail(token.at, f'"{token.text}" is not a number')
-            whole = int(token.text) if re.fullmatch(r"-?[0-9]+", token.text) else None
-            return Literal("number", value, whole if whole is not None and abs(whole) < 1 << 64 else None, token.text)
-        if token.kind == "name" and token.text.lower() in ("true", "false"):
-            return Literal("bool", token.text.lower() == "true")
-        raise _fail(token.at, f'expected a value (number, quoted string, true or false), found "{token}"')
+# --- parsing ---------------------------------------------------------------------------------------------
+
+#: Words that may follow a column, and the kind of test they make; what stands after them, if anything.
+_PHRASES = {
+    ("is", "empty"): None, ("is", "not", "empty"): None, ("in",): "list", ("not", "in"): "list", ("contains",): "string", ("starts_with",): "string",
+}
+
+
+class _Frame:
+    """What stands between two parentheses so far: alternatives, each a list of terms that must all hold."""
+
+    def __init__(self, opened: int | None = None):
+        self.opened, self.alternatives, self.negations = opened, [[]], 0
+
+    def add(self, term: Node) -> None:
+        for _ in range(self.negations):
+            term = Not(term)
+        self.negations = 0
+        self.alternatives[-1].append(term)
+
+    def node(self) -> Node:
+        return _halved(Or, [_halved(And, terms) for terms in self.alternatives])
+
+
+def _halved(kind: type, terms: list[Node]) -> Node:
+    """``and`` and ``or`` are associative: a balanced tree keeps a long list of terms shallow."""
+    if len(terms) == 1:
+        return terms[0]
+    middle = (len(terms) + 1) // 2
+    return kind(_halved(kind, terms[:middle]), _halved(kind, terms[middle:]))
 
 
 def parse(text: str) -> Node:
-    return _Parser(text).whole()
+    """The tree of an expression. Open parentheses are a stack of frames, so nothing here recurses into the text."""
+    words = tokens(text)
+    frames, i, want_term = [_Frame()], 0, True
+    while True:
+        token, frame = words[i], frames[-1]
+        keyword = token.text.lower() if token.kind == "name" else ""
+        if want_term:
+            if len(frames) - 1 + sum(f.negations for f in frames) > MAX_DEPTH:
+                raise _fail(token.at, f"more than {MAX_DEPTH} levels of nesting")
+            if keyword == "not":
+                if words[i + 1].kind in ("op", "."):
+                    raise _fail(token.at, "a column called not must be written in backticks")
+                frame.negations += 1
+                i += 1
+            elif token.kind == "(":
+                frames.append(_Frame(token.at))
+                i += 1
+            else:
+                term, i = _term(words, i)
+                frame.add(term)
+                want_term = False
+            continue
+        i += 1
+        if keyword in ("and", "or"):
+            if keyword == "or":
+                frame.alternatives.append([])
+            want_term = True
+        elif token.kind == ")" and len(frames) > 1:
+            frames.pop()
+            frames[-1].add(frame.node())
+        elif len(frames) > 1:
+            raise _fail(token.at, f"the parenthesis of column {frame.opened + 1} should close, but {_seen(token)}")
+        elif token.kind == "end":
+            return frame.node()
+        else:
+            raise _fail(token.at, f"{token.text!r} follows a complete expression")
+
+
+def _term(words: list[Token], i: int) -> tuple[Node, int]:
+    """The test that begins at token ``i``, and where it ends."""
+    path = []
+    while not path or words[i].kind == ".":
+        i += bool(path)
+        if words[i].kind not in ("name", "quoted"):
+            raise _fail(words[i].at, f"a column's name should stand here, but {_seen(words[i])}")
+        path.append(words[i].text)
+        i += 1
+    path, token = tuple(path), words[i]
+    if token.kind == "op":
+        literal = _literal(words[i + 1])
+        op = "=" if token.text == "==" else token.text
+        if literal.kind == "bool" and op not in ("=", "!="):
+            raise _fail(token.at, f"true and false have no order: {op} cannot be asked of them")
+        return Compare(path, op, literal), i + 2
+    said, partial = [], True
+    while partial and tuple(said) not in _PHRASES:
+        word = words[i].text.lower() if words[i].kind == "name" else None
+        partial = word is not None and any(p[: len(said) + 1] == (*said, word) for p in _PHRASES)
+        if partial:
+            said.append(word)
+            i += 1
+    if not partial:
+        may = sorted({p[len(said)] for p in _PHRASES if p[: len(said)] == tuple(said) and len(p) > len(said)})
+        raise _fail(words[i].at, f"after {' '.join(['a column', *said])} comes {'a comparison or ' if not said else ''}{', '.join(may)}, but {_seen(words[i])}")
+    operand, negate = _PHRASES[tuple(said)], "not" in said
+    if operand is None:
+        return Empty(path, negate), i
+    if operand == "string":
+        if words[i].kind != "string":
+            raise _fail(words[i].at, f"{said[0]} takes a quoted string, but {_seen(words[i])}")
+        return TextTest(path, said[0], words[i].text), i + 1
+    listed, after = [], "("
+    while after != ")":
+        if words[i].kind not in ("(,)" if listed else "("):
+            raise _fail(words[i].at, f"{'a comma or )' if listed else 'the list of values in parentheses'} should stand here, but {_seen(words[i])}")
+        after = words[i].kind
+        if after != ")":
+            listed.append(_literal(words[i + 1]))
+            i += 1
+        i += 1
+    return In(path, tuple(listed), negate), i
+
+
+def _literal(token: Token) -> Literal:
+    if token.kind == "string":
+        return Literal("string", token.text)
+    if token.kind == "name" and token.text.lower() in ("true", "false"):
+        return Literal("bool", token.text.lower() == "true")
+    if token.kind != "number":
+        raise _fail(token.at, f"a number, a quoted string, true or false should stand here, but {_seen(token)}")
+    value = float(token.text) if _NUMBER.fullmatch(token.text) else math.inf
+    if math.isinf(value):
+        raise _fail(token.at, f"{token.text!r} does not spell a number")
+    whole = int(token.text) if token.text.lstrip("-").isdecimal() else None
+    return Literal("number", value, whole if whole is not None and abs(whole) < 1 << 64 else None, token.text)
 
 
 def compared_paths(node: Node) -> list[tuple[str, ...]]:
