@@ -9,7 +9,9 @@ per partition, merged by a shuffle.
 from __future__ import annotations
 
 import heapq
+import json
 import math
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -126,8 +128,8 @@ def _json_leaves(c: Column, name: str) -> Column:
     return walk(c)
 
 
-def entries(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame | None:
-    """A row (position, attribute, text) per record and attribute; None if there is nothing to count."""
+def entries(df: DataFrame, only: Sequence[str] | None = None, records: bool = False) -> DataFrame | None:
+    """A row (position, attribute, text) per record and attribute, ``records``: and one without an attribute; None if there is nothing to count."""
     ship(df.sparkSession)
     placed = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     arrays, seen = [], set()
@@ -139,8 +141,11 @@ def entries(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame | Non
             arrays.append(_placed(a, i * 10_000 + k))
     if not arrays:
         return None
+    if records:
+        nothing = F.lit(None).cast("string")
+        arrays.append(F.array(F.struct(F.lit(-1).alias("position"), nothing.alias("attribute"), nothing.alias("text"))))
     out = placed.select(F.explode(F.concat(*(F.coalesce(a, F.array().cast("array<struct<position:int,attribute:string,text:string>>")) for a in arrays))).alias("e")).select("e.*")
-    return out.where(_condition(only)) if only else out
+    return out.where(_condition(only) | F.col("attribute").isNull()) if only else out
 
 
 def _placed(entries: Column, at: int) -> Column:
@@ -154,24 +159,24 @@ def _condition(only: Sequence[str]) -> Column:
     return out
 
 
-def value_counts(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame | None:
-    """(attribute, text, n, position): exact counts; text is null for empty values."""
-    found = entries(df, only)
+def value_counts(df: DataFrame, only: Sequence[str] | None = None, records: bool = False) -> DataFrame | None:
+    """(attribute, text, n, position): exact counts; text is null for empty values. ``records``: a row without an attribute counts the records."""
+    found = entries(df, only, records)
     return None if found is None else found.groupBy("attribute", "text").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("position"))
 
 
 def attribute_counts(counts: DataFrame) -> DataFrame:
-    """(attribute, position, non_empty, distinct_values)"""
+    """(attribute, position, records, non_empty, distinct_values)"""
     return counts.groupBy("attribute").agg(
-        F.min("position").alias("position"), F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.col("n"))), F.lit(0)).alias("non_empty"), F.count("text").alias("distinct_values")
+        F.min("position").alias("position"), F.sum("n").alias("records"), F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.col("n"))), F.lit(0)).alias("non_empty"), F.count("text").alias("distinct_values")
     )
 
 
-def top_values(counts: DataFrame, n: int = TOP) -> DataFrame:
-    """(attribute, value, n): the most frequent first, ties by value. The limit per attribute goes ahead of the shuffle."""
+def top_values(counts: DataFrame, n: int = TOP, *more: str) -> DataFrame:
+    """(attribute, value, n, rank, more columns): the most frequent first, ties by value. The limit per attribute goes ahead of the shuffle."""
     order = Window.partitionBy("attribute").orderBy(F.col("n").desc(), F.col("text"))
     ranked = counts.where("text IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return ranked.select("attribute", F.col("text").alias("value"), "n", "rank")
+    return ranked.select("attribute", F.col("text").alias("value"), "n", "rank", *more)
 
 
 class SpaceSaving:
@@ -197,9 +202,17 @@ class SpaceSaving:
         self.counts[value] = (n, error)
         heapq.heappush(self.heap, (n, value))
 
+    def floor(self) -> int:
+        """What a value without a counter may have been counted at most."""
+        return min(n for n, _ in self.counts.values()) if len(self.counts) >= self.capacity else 0
+
 
 def approximate_counts(df: DataFrame, max_distinct: int, only: Sequence[str] | None = None) -> DataFrame | None:
-    """(attribute, text, n, max_error): counts where tables of ``max_distinct`` counters suffice per partition, else estimates."""
+    """(attribute, text, n, max_error): counts where tables of ``max_distinct`` counters suffice per partition, else estimates.
+
+    A true count is at most ``max_error`` away: by what the value's counters took over from others, and by what
+    each table may have counted of it that no longer has it, its least counter at most.
+    """
     found = entries(df, only)
     if found is None:
         return None
@@ -210,87 +223,92 @@ def approximate_counts(df: DataFrame, max_distinct: int, only: Sequence[str] | N
             for attribute, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
                 if text is not None:
                     tables.setdefault(attribute, SpaceSaving(max_distinct)).add(text)
-        rows = [(a, t, n, e) for a, table in tables.items() for t, (n, e) in table.counts.items()]
+        rows = []
+        for attribute, table in tables.items():
+            floor = table.floor()
+            rows += [(attribute, text, n, error - floor) for text, (n, error) in table.counts.items()]
+            rows.append((attribute, None, 0, floor))
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["attribute", "text", "n", "max_error"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["attribute", "text", "n", "error"])
 
-    partial = found.select("attribute", "text").mapInArrow(run, "attribute string, text string, n long, max_error long")
-    return partial.groupBy("attribute", "text").agg(F.sum("n").alias("n"), F.sum("max_error").alias("max_error"))
+    partial = found.where("attribute IS NOT NULL").select("attribute", "text").mapInArrow(run, "attribute string, text string, n long, error long")
+    merged = partial.groupBy("attribute", "text").agg(F.sum("n").alias("n"), F.sum("error").alias("error"))
+    # The floors of all tables, less those of the tables that have the value. One row per attribute.
+    floors = merged.where("text IS NULL").select("attribute", F.col("error").alias("floors"))
+    return merged.where("text IS NOT NULL").join(floors, "attribute").select("attribute", "text", "n", (F.col("error") + F.col("floors")).alias("max_error"))
 
 
 def profile(df: DataFrame, top: int = TOP, columns: Sequence[str] | None = None, max_distinct: int | None = None) -> Profile:
-    """The profile of a DataFrame. What reaches the driver is bounded by attributes times ``top``."""
+    """The profile of a DataFrame, from one pass over it. What reaches the driver is bounded by attributes times ``top``."""
     top = top if top > 0 else TOP
-    records = df.count()
-    counts = value_counts(df, columns)
-    if counts is None or not records:
-
-        return Profile(records, [])
+    counts = value_counts(df, columns, records=True)
+    if counts is None:
+        return Profile(df.count(), [])
     counts = counts.persist()
     try:
-        rows = attribute_counts(counts).orderBy("position", "attribute").limit(MOST_ATTRIBUTES + 1).collect()
+        rows = attribute_counts(counts).orderBy(F.col("attribute").isNotNull(), "position", "attribute").limit(MOST_ATTRIBUTES + 2).collect()
+        records = sum(r["records"] for r in rows if r["attribute"] is None)
+        rows = [r for r in rows if r["attribute"] is not None]
         exact: dict[str, list[ValueCount]] = {}
         for r in top_values(counts, top).orderBy("attribute", "rank").collect():
             exact.setdefault(r["attribute"], []).append(ValueCount(r["value"], r["n"], percent(r["n"], records)))
     finally:
         counts.unpersist()
     attributes = [Attribute(r["attribute"], r["non_empty"], percent(r["non_empty"], records), r["distinct_values"], True, exact.get(r["attribute"], [])) for r in rows[:MOST_ATTRIBUTES]]
-    over = [a for a in attributes if max_distinct and a.distinct > max_distinct]
+    over = {a.name: a for a in attributes if max_distinct and a.distinct > max_distinct}
     if over:
-        estimates = approximate_counts(df, max_distinct, [a.name for a in over])
-        for a in over:
-            mine = estimates.where(F.col("attribute") == a.name).orderBy(F.col("n").desc(), "text").limit(top).collect()
-            a.distinct, a.distinct_exact = max_distinct, False
-            a.top_values = [ValueCount(r["text"], r["n"], percent(r["n"], records), r["max_error"]) for r in mine]
+        for a in over.values():
+            a.distinct, a.distinct_exact, a.top_values = max_distinct, False, []
+        estimates = approximate_counts(df, max_distinct, list(over))
+        for r in top_values(estimates, top, "max_error").orderBy("attribute", "rank").collect():
+            if a := over.get(r["attribute"]):
+                a.top_values.append(ValueCount(r["value"], r["n"], percent(r["n"], records), r["max_error"]))
     return Profile(records, attributes, len(rows) > MOST_ATTRIBUTES)
 
 
 # --- rendering -------------------------------------------------------------------------------------------
 
+# The words of the report, which programs may read.
+HEAD = ("ATTRIBUTE", "NON-EMPTY", "%", "DISTINCT")
+FACTS = {"file": "file:", "records": "records:", "skipped": "skipped:", "misses": "where type misses:", "attributes": "attributes:"}
+TOP_OF, ESTIMATED, CUT_SHORT = "top values of ", " (approximate: distinct limit reached)", "note: more attributes exist than are reported; the rest were left out"
+_UNPRINTABLE = re.compile(r"[\x00-\x1f\x7f-\x9f]|\A\s+\Z")
+
 
 def percent_text(p: float) -> str:
     return "<0.1%" if 0 < p < 0.1 else f"{p:.1f}%"
 
 
 def shown(s: str, width: int) -> str:
-    """A value that cannot break a table: control characters and bare white space are quoted, long values are cut."""
-    import json
+    """A value as a table's cell: quoted if it would not be seen as it is, and no wider than ``width`` (0: any)."""
+    cell = json.dumps(s, ensure_ascii=False) if _UNPRINTABLE.search(s) else s
+    return cell if len(cell) <= width or width <= 0 else cell[:1] if width == 1 else cell[: width - 1] + "…"
 
-    if any(ord(c) < 32 or 127 <= ord(c) < 160 for c in s) or s and not s.strip():
-        s = json.dumps(s, ensure_ascii=False)
-    if width <= 0 or len(s) <= width:
-        return s
-    return s[:1] if width == 1 else s[: width - 1] + "…"
 
-
-def _aligned(rows: list[list[str]]) -> list[str]:
-    widths = [max(len(r[i]) for r in rows if i < len(r) - 1) if any(i < len(r) - 1 for r in rows) else 0 for i in range(max(map(len, rows), default=0))]
-    return ["".join(x.ljust(widths[i] + 2) if i < len(r) - 1 else x for i, x in enumerate(r)) for r in rows]
+def _table(*rows: Sequence[object]) -> str:
+    """Cells two spaces apart; the last of a row ends its line."""
+    cells = [[str(c) for c in r] for r in rows]
+    wide = [max(map(len, column)) + 2 for column in zip(*(r[:-1] for r in cells), strict=True)]
+    return "".join("".join(map(str.ljust, r, wide)) + r[-1] + "\n" for r in cells)
 
 
 def render(p: Profile, path: str, width: int = 60) -> str:
-    head = [["file:", shown(path, width)], ["records:", str(p.records)]]
-    if p.rows_skipped:
-        head.append(["skipped:", str(p.rows_skipped)])
-    if p.predicate_misses:
-        head.append(["where type misses:", str(p.predicate_misses)])
-    head.append(["attributes:", str(len(p.columns))])
-    table = [["ATTRIBUTE", "NON-EMPTY", "%", "DISTINCT"]]
-    for a in p.columns:
-        table.append([shown(a.name, width), str(a.non_empty), percent_text(a.pct), f"{a.distinct}{'' if a.distinct_exact else '+'}"])
-    out = [*_aligned(head), "", *_aligned(table)]
-    for a in p.columns:
-        if a.top_values:
-            out += ["", f"top values of {shown(a.name, width)}{'' if a.distinct_exact else ' (approximate: distinct limit reached)'}:"]
-            out += _aligned([["  " + shown(v.value, width), f"{'~' if v.max_error else ''}{v.count}", percent_text(v.pct)] for v in a.top_values])
-    if p.columns_truncated:
-        out += ["", "note: more attributes exist than are reported; the rest were left out"]
-    return "\n".join(out) + "\n"
+    facts = {"file": shown(path, width), "records": p.records, "skipped": p.rows_skipped or None, "misses": p.predicate_misses or None, "attributes": len(p.columns)}
+    names = {a.name: shown(a.name, width) for a in p.columns}
+    parts = [
+        _table(*((FACTS[k], v) for k, v in facts.items() if v is not None)),
+        _table(HEAD, *((names[a.name], a.non_empty, percent_text(a.pct), str(a.distinct) + "+" * (not a.distinct_exact)) for a in p.columns)),
+        *(
+            f"{TOP_OF}{names[a.name]}{ESTIMATED * (not a.distinct_exact)}:\n"
+            + _table(*(("  " + shown(v.value, width), "~" * (v.max_error > 0) + str(v.count), percent_text(v.pct)) for v in a.top_values))
+            for a in p.columns if a.top_values
+        ),
+        *([CUT_SHORT + "\n"] if p.columns_truncated else []),
+    ]
+    return "\n".join(parts)
 
 
 def as_json(p: Profile) -> str:
-    import json
-
     def number(x: float):
         return int(x) if math.isfinite(x) and x == int(x) else x
 

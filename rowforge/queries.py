@@ -320,10 +320,28 @@ def profile_where(spark, sf):
     return counts.agg(F.sum("n").alias("records"), F.count("text").alias("distinct_users"))
 
 
-@query("profile_approx_topk", None)
+@query(
+    "profile_approx_topk",
+    """with e as (select 'event_type' as attribute, event_type as value from events union all select 'user_id', cast(user_id as varchar) from events),
+    c as (select attribute, value, count(*) as n from e group by 1, 2),
+    r as (select *, row_number() over (partition by attribute order by n desc, value) as rank from c)
+    select attribute, value, n, 0::bigint as max_error from r where rank <= 5""",
+)
 def profile_approx(spark, sf):
-    counts = P.approximate_counts(table(spark, sf, "events").select("user_id", "event_type"), 1000)
-    return P.top_values(counts.withColumnRenamed("max_error", "error"), 5).select("attribute", "value", "n")
+    """Counters for every value: the estimates are the counts."""
+    counts = P.approximate_counts(table(spark, sf, "events").select("user_id", "event_type"), 1_000_000)
+    return P.top_values(counts, 5, "max_error").drop("rank")
+
+
+@query("profile_approx_bounds", "select 'user_id' as attribute, count(distinct user_id)::bigint as n_values, 0::bigint as n_outside, true as some_estimated from events")
+def profile_approx_bounds(spark, sf):
+    """Too few counters, in several tables: every true count lies within the error that is given."""
+    df = table(spark, sf, "events").select("user_id")
+    true = P.value_counts(df).select("text", F.col("n").alias("true"))
+    few = true.count() // 4
+    both = P.approximate_counts(df.repartition(4, "user_id"), few).unionByName(P.approximate_counts(df.repartition(3), few)).join(true, "text", "right")
+    inside = (F.abs(F.col("n") - F.col("true")) <= F.col("max_error")) | F.col("n").isNull()
+    return both.agg(F.lit("user_id").alias("attribute"), F.count_distinct("text").alias("n_values"), F.count_if(~inside).alias("n_outside"), (F.max("max_error") > 0).alias("some_estimated"))
 
 
 # --- runs ------------------------------------------------------------------------------------------------
