@@ -9,10 +9,10 @@ from dataclasses import dataclass, field
 from typing import IO, Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import profile as P
-from .operators.stages import RecordTransform, RowFilter, Stages, staged
+from .operators.stages import RecordTransform, RowFilter, Stages, observed, staged
 from .operators.transform import Drop, Rename
 from .plans.predicate import Predicate
 from .session import ship
@@ -61,7 +61,7 @@ class Options:
         if self.csv_delimiter is not None and (len(self.csv_delimiter) != 1 or self.csv_delimiter in '\0"\r\n�'):
             raise ValueError(f"delimiter {self.csv_delimiter!r} is not allowed")
         if self.where_strict and self.where is None:
-            raise ValueError("where_strict needs where")
+            raise ValueError("where_strict says how where acts, which is missing")
         predicate = [Predicate.parse(self.where, self.where_strict)] if self.where is not None else []
         self.stages = Stages([*predicate, *self.filters], self.transforms, self.rules)
 
@@ -92,8 +92,7 @@ class _Opened:
             source, path = path, self.store.scratch("input")
             self.store.write(path, [source] if isinstance(source, (bytes, bytearray)) else iter(lambda: source.read(8 << 20), b""))
             self._to_delete.append(path)
-        spark.conf.set("spark.sql.caseSensitive", "true")  # names in files are case-sensitive
-        many = "*" in path or self.store.is_folder(path)  # parts of one format: the name or the options say which
+        self.many = many = "*" in path or self.store.is_folder(path)  # parts of one format: the name or the options say which
         head = b"" if many else self.store.head(path, D.HEAD)
         codec = codecs.NONE if many else o.input_compression or codecs.detect(head, path)
         self.path = path
@@ -107,9 +106,12 @@ class _Opened:
             log.info("%s is named like %s but holds %s", path, named, self.format)
 
     def __enter__(self) -> _Opened:
+        self.case = readers.setting(self.store.spark, "spark.sql.caseSensitive", "true")  # names in files are case-sensitive
+        self.case.__enter__()
         return self
 
     def __exit__(self, *_) -> None:
+        self.case.__exit__(None, None, None)
         for path in [*self._to_delete, *([self.spooled] if self.spooled else [])]:
             self.store.delete(path.rpartition("/")[0])
 
@@ -125,7 +127,8 @@ def _read(spark: SparkSession, opened: _Opened, o: Options) -> readers.Records:
 def read(spark: SparkSession, path: str, options: Options | None = None) -> DataFrame:
     """A plain file as a DataFrame, after the options' stages. Lazy; compressed input is spooled and stays until the session ends."""
     o = options or Options()
-    return staged(_read(ship(spark), _Opened(spark, path, o), o).df, o.stages)[0]
+    with readers.setting(ship(spark), "spark.sql.caseSensitive", "true"):
+        return staged(_read(spark, _Opened(spark, path, o), o).df, o.stages)[0]
 
 
 def process(spark: SparkSession, path: str, out: str, options: Options | None = None) -> Stats:
@@ -152,10 +155,6 @@ def process(spark: SparkSession, path: str, out: str, options: Options | None =
 
 def _pass_through(spark: SparkSession, opened: _Opened, out: str, o: Options) -> Stats:
     """NDJSON to NDJSON with nothing to do: lines as they are."""
-    from pyspark.sql import functions as F
-
-    from .operators.stages import observed
-
     df = readers.lines(spark, opened.path).select(F.regexp_replace("value", "\r$", "").alias("value"))
     df, seen = observed(df.where(F.trim("value") != ""), rows=F.count(F.lit(1)))
     began = time.monotonic()
@@ -174,21 +173,28 @@ def deliver(spark: SparkSession, path: str | bytes | IO[bytes], handler: Callabl
     ship(spark)
     with _Opened(spark, path, o) as opened:
         same = opened.format == o.output_format and not o.stages.any and o.max_row_errors <= 0
-        stats = Stats()
-        if same and opened.format in ("json", "csv", "tsv"):
+        stats, delivered = Stats(), 0
+        if same and (opened.format == "json" or opened.format in ("csv", "tsv") and not (o.csv_has_header and opened.many)):
             documents = documents_of.raw_lines(readers.lines(spark, opened.path), opened.format != "json", o.csv_has_header)
         elif same and opened.format == "parquet" and (groups := documents_of.row_groups(spark, opened.path)) is not None:
             documents = groups
         else:
             records = _read(spark, opened, o)
-            df, counts = staged(records.df, o.stages)
+            df, bound = staged(records.df, o.stages)
             staged_records = readers.Records(df, records.format, ragged=records.ragged if o.output_format != "json" else None)
-            stats.rows_skipped, stats.unseen_columns = records.skipped, counts.unseen
+            stats.rows_skipped, stats.unseen_columns = records.skipped, bound.unseen
             documents = documents_of.encoded(staged_records, o.output_format, o.batch_size if o.batch_size > 0 else 512, o.csv_delimiter, o.csv_has_header)
+            if o.stages.filters:
+                # Documents go out partition by partition, in a job each, and observations would tell of the first alone.
+                counted, counts = staged(records.df, o.stages, counts=True)
+                counted.agg(F.count(F.lit(1))).collect()
+                found = counts.get()
+                stats.rows_read, stats.rows_filtered, stats.predicate_misses = found["rows_read"], found["rows_filtered"], found["predicate_misses"]
         for row in documents.toLocalIterator():
             handler(bytes(row["document"]))
             stats.documents_dispatched += 1
-            stats.rows_read += row["rows"]
+            delivered += row["rows"]
+        stats.rows_read = stats.rows_read or delivered
         stats.write_seconds = time.monotonic() - began
         return stats
 
@@ -221,14 +227,8 @@ def profile(spark: SparkSession, path: str, options: Options | None = None) -> P
     ship(spark)
     with _Opened(spark, path, o) as opened:
         records = _read(spark, opened, o)
-        df, counts = staged(records.df, o.stages)
-        misses = 0
-        for f in o.stages.filters:
-            if isinstance(f, Predicate) and not f.strict and (bound := f.bind(records.df.schema)).misses is not None:
-                from pyspark.sql import functions as F
-
-                misses += records.df.agg(F.sum(bound.misses)).first()[0] or 0
-                break
+        df, counts = staged(records.df, o.stages, counts=bool(o.stages.filters))
         found = P.profile(df, o.profile_top, o.profile_columns, o.profile_max_distinct or None)
-        found.rows_skipped, found.predicate_misses, found.unseen_columns = records.skipped, misses, counts.unseen
+        found.rows_skipped, found.unseen_columns = records.skipped, counts.unseen
+        found.predicate_misses = counts.get()["predicate_misses"] if counts.misses else 0
         return found

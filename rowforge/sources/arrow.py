@@ -1,4 +1,7 @@
-"""Arrow IPC files as a Spark data source: a partition for some record batches, Arrow batches all the way."""
+"""Arrow IPC files as a Spark data source: a partition for some record batches, Arrow batches all the way.
+
+The data source's tasks open files themselves, on a disk that all share; other stores are read through Spark's ``binaryFile``.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.canonical import UNIT
+from .files import Store
 
 
 class UnsupportedArrow(ValueError):
@@ -56,13 +60,17 @@ def _open(path: str) -> pa.ipc.RecordBatchFileReader:
 
 
 def read_schema(path: str) -> T.StructType:
-    from pyspark.sql.pandas.types import from_arrow_type
-
-    fields = []
     found = files(path)
     if not found:
         raise FileNotFoundError(f"no Arrow files under {path}")
-    for f in _open(found[0]).schema:
+    return schema_of(_open(found[0]).schema)
+
+
+def schema_of(schema: pa.Schema) -> T.StructType:
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    fields = []
+    for f in schema:
         metadata = {UNIT: f.type.unit} if pa.types.is_timestamp(f.type) and f.type.unit != "us" else {}
         fields.append(T.StructField(f.name, from_arrow_type(_target(f.type), prefer_timestamp_ntz=True), True, metadata))
     return T.StructType(fields)
@@ -72,6 +80,10 @@ def _convert(column: pa.Array, target: pa.DataType) -> pa.Array:
     return column if column.type == target else column.cast(target, safe=False) if pa.types.is_timestamp(column.type) else column.cast(target)
 
 
+def converted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_convert(c, _target(c.type)) for c in batch.columns], names=batch.schema.names)
+
+
 #: Bytes of a file that a partition takes, by whole record batches.
 PARTITION_BYTES = 16 << 20
 
@@ -98,9 +110,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Batches) -> Iterator[pa.RecordBatch]:
         source = _open(partition.path) if partition.end else None
         for i in range(partition.first, partition.end):
-            batch = source.get_batch(i)
-            columns = [_convert(c, _target(c.type)) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield converted(source.get_batch(i))
 
 
 @dataclass
@@ -146,6 +156,57 @@ class _Writer(DataSourceArrowWriter):
                 os.remove(m.path)
 
 
+#: Bytes of a part that is written through the driver.
+PART_BYTES = 64 << 20
+
+
+def write_arrow(df: DataFrame, folder: str, store: Store) -> None:
+    """A folder of Arrow files. Tasks write to a shared local folder themselves; into any other store the parts go through the driver."""
+    spark = df.sparkSession
+    if store.is_local(folder):
+        spark.dataSource.register(ArrowFiles)
+        df.write.format("rowforge_arrow").mode("append").save(folder)
+        return
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= PART_BYTES:
+                yield _file(held)
+                held, size = [], 0
+        if held:
+            yield _file(held)
+
+    def _file(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_file(sink, held[0].schema) as out:
+            for batch in held:
+                out.write_batch(batch)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["file"])
+
+    for i, row in enumerate(df.mapInArrow(files, "file binary").toLocalIterator()):
+        store.write(f"{folder}/part-{i:05d}.arrow", [bytes(row["file"])])
+
+
+def read_remote(spark: SparkSession, path: str, store: Store) -> tuple[DataFrame, T.StructType]:
+    """Arrow files of a store that only Spark reads; a task takes a file (2 GB at most) as a whole."""
+    found = [f for f in store.parts(path) if f.endswith(".arrow")] if store.is_folder(path) else [path]
+    if not found:
+        raise FileNotFoundError(f"no Arrow files under {path}")
+    schema = schema_of(pa.ipc.open_file(store.opened(found[0])).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                source = pa.ipc.open_file(pa.BufferReader(content.as_buffer()))
+                for i in range(source.num_record_batches):
+                    yield converted(source.get_batch(i))
+
+    return spark.read.format("binaryFile").load(found).select("content").mapInArrow(run, schema), schema
+
+
 class ArrowFiles(DataSource):
     @classmethod
     def name(cls) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,15 +13,19 @@ CHUNK = 8 << 20
 
 
 class Store:
-    """Files under paths as Spark takes them. Local paths without a scheme go past Hadoop."""
+    """Files under paths as Spark takes them. Local ones go past Hadoop; paths without a scheme are local if the default store is."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.local_by_default = (spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///").startswith("file:")
 
     def _local(self, path: str) -> str | None:
-        if path.startswith("file://"):
-            return path[7:]
-        return path if "://" not in path else None
+        if path.startswith("file:"):
+            return "/" + path[5:].lstrip("/")
+        return path if "://" not in path and self.local_by_default else None
+
+    def is_local(self, path: str) -> bool:
+        return self._local(path) is not None
 
     def _hadoop(self, path: str):
         jvm = self.spark._jvm
@@ -77,6 +82,14 @@ class Store:
         finally:
             stream.close()
 
+    def opened(self, path: str):
+        """A file for pyarrow: mapped if it is local, else read through Spark's store."""
+        import pyarrow as pa
+
+        if local := self._local(path):
+            return pa.memory_map(local)
+        return pa.BufferReader(b"".join(self.chunks(path)))
+
     def parts(self, folder: str) -> list[str]:
         """Data files of a written folder in the order of their partitions."""
         if local := self._local(folder):
@@ -90,8 +103,14 @@ class Store:
         fs.delete(where, True)
 
     def scratch(self, name: str) -> str:
-        """A new path in the shared folder that the cluster names, else in a local temporary one."""
-        import tempfile
+        """A new path in the shared folder that the cluster names."""
+        return f"{shared_folder(self.spark)}/rowforge-{uuid.uuid4().hex}/{name}"
+
 
-        shared = self.spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "rowforge")
-        return f"{shared}/rowforge-{uuid.uuid4().hex}/{name}"
+def shared_folder(spark: SparkSession) -> str:
+    """Where driver and executors both write: ``spark.checkpoint.dir``. A temporary folder only if both are one process."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "rowforge")

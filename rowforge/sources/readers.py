@@ -1,19 +1,23 @@
 """Files to DataFrames.
 
-NDJSON is parsed strictly by Arrow batches, twice: once for what the columns have in common and which lines
-are bad, once for the values; a caller who knows the schema saves the first pass. Rows whose names differ keep theirs in a
-hidden column, and columns whose kinds differ hold JSON values. CSV and TSV lines without quotes are split by the
-JVM; lines with quotes are parsed line by line; only a file with line breaks inside quotes is parsed as a whole, in
-one task.
+NDJSON whose records all have the same scalars is told by one pass of the JVM and read by Spark's parser. Any other is parsed strictly by Arrow
+batches, twice: once for what the columns have in common and which lines are bad, once for the values; a caller who
+knows the schema saves the first pass. Rows whose names differ keep theirs in a hidden column, and columns whose kinds differ hold
+JSON values. CSV and TSV lines are checked and split by built-in functions; only files with line breaks inside
+quotes are parsed in Python, split by split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+import json
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.canonical import JSON_KIND, UNIT
 from ..session import ship
@@ -23,6 +27,14 @@ from . import jsonvalues as J
 NAMES = "__rf_names"
 #: Metadata key of a column's name in the file.
 ORIGINAL = "rf.name"
+#: Messages of skipped rows that a run keeps; all are counted.
+MESSAGES = 10_000
+#: Names that the records of a file may have in all.
+MOST_NAMES = 20_000
+#: Bytes of records that lie across splits, where CSV has line breaks inside quotes.
+MOST_PIECES = 256 << 20
+#: First lines that suggest what all lines may be.
+SAMPLE = 100
 
 
 class RowErrors(ValueError):
@@ -105,6 +117,8 @@ class _Summary:
         if len(self.known) < 1000 and not any(k in (list, J.Pairs) for _, k in kinds):
             self.known.add(kinds)
         for name, value in pairs:
+            if name not in self.names and len(self.names) >= MOST_NAMES:
+                raise BadInput(f"records have more than {MOST_NAMES} names; give them as entries of an object")
             found = J.shape(value)
             self.names[name] = J.merge(self.names.get(name), found) if name in self.names else found
         if len(self.layouts) < 2:
@@ -195,8 +209,12 @@ def read_ndjson(spark: SparkSession, path: str | DataFrame, max_row_errors: int
     text = path if isinstance(path, DataFrame) else lines(spark, path)
     if schema is not None:
         return Records(parse_ndjson(text, schema), "json")
-    s = _total(_summaries(text, max_row_errors + 1), max_row_errors + 1)
-    _budget(s.errors, s.bad, max_row_errors)
+    if (names := _uniform(text)) is not None:
+        s = _Summary(names, {tuple(names)})
+    else:
+        most = min(max_row_errors, MESSAGES) + 1
+        s = _total(_summaries(text, most), most)
+        _budget(s.errors, s.bad, max_row_errors)
     fields, ragged = [], None
     for name, shape in s.names.items():
         dt, metadata = spark_type(J.settled(shape))
@@ -208,7 +226,7 @@ def read_ndjson(spark: SparkSession, path: str | DataFrame, max_row_errors: int
         fields.append(T.StructField(NAMES, T.ArrayType(T.StringType())))
     schema = T.StructType(fields)
     if not s.bad and ragged is None and fields and all(type(f.dataType) in _PLAIN for f in fields) and len({f.name.lower() for f in fields}) == len(fields):
-        # The survey has seen every line: all are objects of the same scalars, which Spark's parser reads alike.
+        # Every line has been seen: all are objects of the same scalars, which Spark's parser reads alike.
         value = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "[ \\t\\r]+$", "")
         bare = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
         parsed = text.select(value.alias("value")).where("value != ''").select(F.from_json("value", bare).alias("v")).select("v.*")
@@ -216,6 +234,40 @@ def read_ndjson(spark: SparkSession, path: str | DataFrame, max_row_errors: int
     return Records(parse_ndjson(text, schema), "json", s.bad, s.errors, ragged)
 
 
+#: Scalars as a line may spell them, in a strict form that both JSON readers take for the same value.
+_SPELLED = {
+    "int": "-?(?:0|[1-9][0-9]{0,17}+)", "bool": "true|false", None: "null",
+    "float": "-?(?:0|[1-9][0-9]*+)(?:\\.[0-9]++(?:[eE][+-]?[0-9]{1,2}+)?|[eE][+-]?[0-9]{1,2}+)",
+    "str": r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u(?![dD][89a-fA-F])[0-9a-fA-F]{4}))*+"',
+}
+
+
+def _uniform(text: DataFrame) -> dict | None:
+    """Names and kinds of records that all have the same scalars in the same order, else None.
+
+    The first lines say what to ask; one pass of the JVM asks it of every line.
+    """
+    names: dict | None = None
+    for (line,) in text.select("value").limit(SAMPLE).collect():
+        if not (line := _line(line, False)):
+            continue
+        try:
+            pairs = J.record(line)
+        except J.BadJson:
+            return None
+        kinds = {name: J.shape(value) for name, value in pairs}
+        if names is not None and list(names) != list(kinds):
+            return None
+        names = {name: J.merge((names or kinds)[name], kind) for name, kind in kinds.items()}
+    if not names or any(kind not in _SPELLED or json.dumps(name, ensure_ascii=False) != f'"{name}"' or "\\E" in name for name, kind in names.items()):
+        return None
+    space = "[ \\t\\r]*+"
+    members = f"{space},{space}".join(f'"\\Q{name}\\E"{space}:{space}(?:null|{_SPELLED[kind]})' for name, kind in names.items())
+    whole = rf"\A\x{{feff}}?{space}(?:\{{{space}{members}{space}\}}{space})?\z"
+    unlike = text.agg(F.count_if(~F.rlike("value", F.lit(whole))).alias("n")).first()["n"]
+    return None if unlike else names
+
+
 _PLAIN = (T.BooleanType, T.LongType, T.DoubleType, T.StringType)
 
 
@@ -230,8 +282,15 @@ class BadQuotes(ValueError):
     """A bare or unterminated quote."""
 
 
+class OtherHeader(ValueError):
+    """A file of a folder whose header is not the first file's."""
+
+
 def parse_fields(text: str, delimiter: str) -> list[list[str]]:
     """RFC 4180 records of a text, without leniency: quotes only around whole fields. Empty lines are no records."""
+    if '"' not in text:
+        whole = (line.removesuffix("\r") for line in text.split("\n"))
+        return [line.split(delimiter) for line in whole if line]
     records, fields, i, n = [], [], 0, len(text)
     while i <= n:
         if i < n and text[i] == '"':
@@ -239,7 +298,7 @@ def parse_fields(text: str, delimiter: str) -> list[list[str]]:
             while True:
                 end = text.find('"', i)
                 if end < 0:
-                    raise BadQuotes('extraneous or missing " in quoted-field')
+                    raise BadQuotes("a quoted field is not closed, or something follows its closing quote")
                 out.append(text[i:end])
                 i = end + 1
                 if i < n and text[i] == '"':
@@ -251,16 +310,14 @@ def parse_fields(text: str, delimiter: str) -> list[list[str]]:
             if text.startswith("\r\n", i):
                 i += 1
             if i < n and text[i] not in (delimiter, "\n"):
-                raise BadQuotes('extraneous or missing " in quoted-field')
+                raise BadQuotes("a quoted field is not closed, or something follows its closing quote")
         else:
-            end = i
-            while end < n and text[end] != delimiter and text[end] != "\n":
-                end += 1
+            end = _field_end(delimiter).search(text, i).start()
             value = text[i:end]
             if (end == n or text[end] == "\n") and value.endswith("\r"):
                 value = value[:-1]
             if '"' in value:
-                raise BadQuotes('bare " in non-quoted-field')
+                raise BadQuotes("a bare quote stands in a field without quotes")
             if not (value == "" and not fields and (end == n or text[end] == "\n")):
                 fields.append(value)
             i = end
@@ -278,6 +335,11 @@ def parse_fields(text: str, delimiter: str) -> list[list[str]]:
     return records
 
 
+@functools.cache
+def _field_end(delimiter: str) -> re.Pattern:
+    return re.compile(f"[{re.escape(delimiter)}\n]|\\Z")
+
+
 def unique(names: list[str]) -> list[str]:
     """Column names for a header that may repeat some: the first keeps its name."""
     out, seen = [], set()
@@ -294,70 +356,230 @@ def _wide(df: DataFrame, names: list[str], original: list[str]) -> DataFrame:
     return df.select(*(fields[i].alias(n, metadata={ORIGINAL: o}) for i, (n, o) in enumerate(zip(names, original, strict=True))))
 
 
+def _quotes(value: Column) -> Column:
+    return F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool = False, max_row_errors: int = 0, fmt: str = "csv") -> Records:
-    """All fields are text. A record of another width than the first is a row error; bad quotes are fatal."""
+    """All fields are text. A record of another width than the first is a row error; bad quotes are fatal.
+
+    With a header, the first record of every file of a folder is one, and all must be the same.
+    One pass of the JVM learns what the file has; a second one, of the caller, splits lines by built-in functions. Only
+    where quoted fields hold line breaks, or a data line repeats the header, are records put together in Python, split by split.
+    """
     ship(spark)
-    if len(delimiter) != 1 or delimiter in '\0"\r\n�':
+    if len(delimiter) != 1 or delimiter in '\0"\r\n\ufffd':
         raise ValueError(f"delimiter {delimiter!r} is not allowed")
-    text = lines(spark, path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    census = text.agg(F.count_if(quotes > 0).alias("quoted"), F.count_if(quotes % 2 == 1).alias("odd")).first()
-    if census["odd"]:
-        records = spark.read.text(path, wholetext=True).mapInArrow(_parser(delimiter), "fields array<string>")
-    else:
-        value = F.regexp_replace("value", "\r$", "")
-        numbered = text.withColumn("at", F.monotonically_increasing_id())
-        value = F.when(F.col("at") == 0, F.regexp_replace(value, "^﻿", "")).otherwise(value)
-        kept = numbered.select(value.alias("value")).where("value != ''")
-        if census["quoted"]:
-            records = kept.mapInArrow(_parser(delimiter), "fields array<string>")
-        else:
-            records = kept.select(F.split("value", _pattern(delimiter), -1).alias("fields"))
-    try:
-        first = records.first()
-    except Exception as e:
-        raise _bad_quotes(e) from None
-    if first is None:
+    text = lines(spark, path).select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start"))
+    top = text.where("start = 0").select(_whole_line()).where("value != ''").first()
+    if top is None:
         if header:
-            raise BadInput("csv header: EOF")
+            raise BadInput(f"{fmt} header: EOF")
         return Records(spark.createDataFrame([], T.StructType([])), fmt)
-    original = list(first["fields"]) if header else [f"col{i}" for i in range(len(first["fields"]))]
-    width = len(original)
-    if header:
-        # The header is the first record of the first partition; Spark reads a file's parts in order.
-        records = records.withColumn("at", F.monotonically_increasing_id()).where("at != 0").drop("at")
-    right = F.size("fields") == width
+    clean = text.select(_whole_line(), "file_path", "start").where("value != ''")
+    value, is_top = F.col("value"), (F.col("start") == 0) & (F.col("value") == F.lit(top["value"]))
+    shape = Shape(delimiter)
+    fields = F.when(F.contains(value, F.lit('"')), shape.quoted(value)).otherwise(shape.plain(value))
     try:
-        bad = records.where(~right).select(F.size("fields").alias("n")).limit(max_row_errors + 1).collect()
+        first = parse_fields(top["value"], delimiter)[0]
+    except BadQuotes:
+        first = None
+    at = F.monotonically_increasing_id()
+    census = clean.select("file_path", "start", "value", at.alias("at")).groupBy("file_path").agg(
+        F.count_if(F.contains(value, F.lit('"'))).alias("quoted"), F.count_if(_quotes(value) % 2 == 1).alias("odd"), F.count_if(~shape.valid(value)).alias("invalid"),
+        F.count_if(shape.width(value) != len(first or ())).alias("wrong"), F.count_if(is_top).alias("tops"), F.min(F.when(F.col("start") == 0, F.col("at"))).alias("first"), F.min(F.when(is_top, F.col("at"))).alias("first_top"),
+    )
+    seen = census.agg(*(F.sum(c).alias(c) for c in ("quoted", "odd", "invalid", "wrong")), F.count_if((F.col("tops") != 1) | (F.col("first") != F.col("first_top"))).alias("unlike")).first()
+    try:
+        if first is None or seen["odd"] or header and seen["unlike"]:
+            records = _assembled(text, delimiter, header)
+            if first is None or seen["odd"]:
+                first = _first_record(text, delimiter)
+            right = F.size("fields") == len(first)
+            bad = records.where(~right)
+        else:
+            if seen["invalid"]:
+                parse_fields(clean.where(~shape.valid(value)).first()["value"], delimiter)  # says what is wrong with it
+            clean = clean.where(~is_top) if header else clean
+            records = clean.select((fields if seen["quoted"] else shape.plain(value)).alias("fields"))
+            right = F.lit(True) if not seen["wrong"] else F.size("fields") == len(first)
+            bad = records.where(~right) if seen["wrong"] else None
+        bad = bad.select(F.size("fields").alias("n")).limit(min(max_row_errors, MESSAGES) + 1).collect() if bad is not None else []
+        errors = [f"{fmt}: {r['n']} fields where {len(first)} belong" for r in bad]
+        skipped = len(errors)
+        if skipped > MESSAGES:
+            skipped = records.where(~right).count()
+    except (BadQuotes, OtherHeader) as e:
+        raise BadInput(f"{fmt}: {e}") from None
     except Exception as e:
-        raise _bad_quotes(e) from None
-    errors = [f"csv: record has {r['n']} fields, expected {width}" for r in bad]
-    _budget(errors, len(errors), max_row_errors)
-    return Records(_wide(records.where(right), unique(original), original), fmt, len(errors), errors)
+        raise _bad_records(e, fmt) from None
+    original = list(first) if header else [f"col{i}" for i in range(len(first))]
+    _budget(errors, skipped, max_row_errors)
+    return Records(_wide(records.where(right), unique(original), original), fmt, skipped, errors)
+
+
+def _whole_line() -> Column:
+    """A line without its end, and a file's first without the mark of its byte order."""
+    value = F.regexp_replace("value", "\r$", "")
+    return F.when((F.col("start") == 0) & F.startswith("value", F.lit("\ufeff")), F.substring(value, 2, 1 << 30)).otherwise(value).alias("value")
+
+
+class Shape:
+    """Lines that are whole records, as built-in functions see them."""
+
+    def __init__(self, delimiter: str):
+        self.delimiter, d = delimiter, re.escape(delimiter) if delimiter != "\t" else "\t"
+        self.pattern = d
+        field = rf'(?:"(?:[^"]++|"")*+"|[^"{d}]*+)'
+        self.record, self.field = rf"^{field}(?:{d}{field})*+$", rf"{d}({field})"
+
+    def valid(self, value: Column) -> Column:
+        return ~F.contains(value, F.lit('"')) | F.rlike(value, F.lit(self.record))
+
+    def plain(self, value: Column) -> Column:
+        return F.split(value, self.pattern, -1)
 
+    def _raw(self, value: Column) -> Column:
+        return F.regexp_extract_all(F.concat(F.lit(self.delimiter), value), F.lit(self.field), 1)
 
-def _bad_quotes(e: Exception) -> Exception:
-    return BadInput("csv: " + str(e).split("BadQuotes: ")[1].splitlines()[0]) if "BadQuotes: " in str(e) else e
+    def quoted(self, value: Column) -> Column:
+        unquoted = lambda f: F.when(F.startswith(f, F.lit('"')), F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+        return F.transform(self._raw(value), unquoted)
 
+    def width(self, value: Column) -> Column:
+        bare = F.length(value) - F.length(F.replace(value, F.lit(self.delimiter), F.lit(""))) + 1
+        return F.when(F.contains(value, F.lit('"')), F.size(self._raw(value))).otherwise(bare)
 
-def _pattern(delimiter: str) -> str:
-    import re
 
-    return re.escape(delimiter) if delimiter not in "\t" else "\t"
+def _bad_records(e: Exception, fmt: str) -> Exception:
+    for kind in ("BadQuotes: ", "OtherHeader: "):
+        if kind in str(e):
+            return BadInput(f"{fmt}: " + str(e).split(kind)[1].splitlines()[0])
+    return e
 
 
-def _parser(delimiter: str) -> Callable:
+def _first_record(text: DataFrame, delimiter: str) -> list[str]:
+    """The first record of the first file, over as many lines as it has."""
+    held, odd = [], 0
+    for row in text.where("start = 0").toLocalIterator():
+        line = row["value"] if held else row["value"].removeprefix("\ufeff")
+        if not held and line.removesuffix("\r") == "":
+            continue
+        held.append(line)
+        odd += line.count('"')
+        if odd % 2 == 0:
+            break
+    return parse_fields("\n".join(held), delimiter)[0]
+
+
+def _assembled(text: DataFrame, delimiter: str, header: bool) -> DataFrame:
+    """Records whose quoted fields may hold line breaks.
+
+    The number of quotes before a split says whether it begins inside a field. A split gives its records up to its end; what it holds of
+    a record that begins in an earlier one goes to that one. Such pieces are one per split at most; they travel to
+    the workers, and no more than ``MOST_PIECES`` bytes of them may.
+    """
+    splits = text.groupBy("file_path", "start").agg((F.sum(_quotes(F.col("value"))) % 2).alias("odd"))
+    before = Window.partitionBy("file_path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("inside", F.coalesce(F.sum("odd").over(before) % 2, F.lit(0)) == 1)
+    inside = {(r["file_path"], r["start"]): r["odd"] for r in splits.where("inside").collect()}
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lines with which splits begin that begin inside a field."""
+        held: dict[tuple[str, int], list[str]] = {}
+        closed: set[tuple[str, int]] = set()
+        for batch in batches:
+            for line, file, start in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                key = (file, start)
+                if key in inside and key not in closed:
+                    held.setdefault(key, []).append(line)
+                    if line.count('"') % 2:
+                        closed.add(key)
+        rows = [(f, s, "\n".join(v), (f, s) in closed) for (f, s), v in held.items()]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        types = (pa.string(), pa.int64(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "start", "head", "closed"])
+
+    pieces: dict[str, list[tuple[int, str, bool]]] = {}
+    size = 0
+    if inside:
+        within = F.broadcast(splits.where("inside").select("file_path", "start"))
+        for r in text.join(within, ["file_path", "start"], "left_semi").select("value", "file_path", "start").mapInArrow(heads, "file string, start long, head string, closed boolean").toLocalIterator():
+            size += len(r["head"])
+            if size > MOST_PIECES:
+                raise BadInput(f"records that cross splits hold over {MOST_PIECES} bytes; raise spark.sql.files.maxPartitionBytes")
+            pieces.setdefault(r["file"], []).append((r["start"], r["head"], r["closed"]))
+    for found in pieces.values():
+        found.sort()
+    top = _first_record(text, delimiter) if header else None
+
+    def rest(file: str, start: int) -> list[str]:
+        """What later splits hold of a record that begins in this one."""
+        out = []
+        for at, head, closed in pieces.get(file, ()):
+            if at > start:
+                out.append(head)
+                if closed:
+                    break
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, skipping, whole, odd, begun = None, False, [], 0, False
+
+        def parsed(ends: bool) -> list[list[str]]:
+            nonlocal whole, odd, begun
+            if key is None:
+                return []
+            if ends and odd:
+                whole += rest(*key)
+            elif odd:
+                return []
+            rows = parse_fields("\n".join(whole), delimiter)
+            whole, odd = [], 0
+            if rows and key[1] == 0 and not begun:
+                begun = True
+                if top is not None and rows.pop(0) != top:
+                    raise OtherHeader(f"the header of {key[0]} is not the first file's")
+            return rows
+
         for batch in batches:
-            rows = [r for text in batch.column(0).to_pylist() for r in parse_fields(text.removeprefix("﻿"), delimiter)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["fields"])
+            out = []
+            for line, file, start in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if (file, start) != key:
+                    out += parsed(True)
+                    key, whole, odd, begun = (file, start), [], 0, False
+                    skipping = key in inside
+                    if start == 0:
+                        line = line.removeprefix("\ufeff")
+                quotes = line.count('"') % 2
+                if skipping:
+                    skipping = not quotes
+                    continue
+                whole.append(line)
+                odd ^= quotes
+            out += parsed(False)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["fields"])
+        yield pa.RecordBatch.from_arrays([pa.array(parsed(True), pa.list_(pa.string()))], names=["fields"])
 
-    return run
+    return text.mapInArrow(run, "fields array<string>")
 
 
 # --- Parquet and Arrow -----------------------------------------------------------------------------------
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str | None):
+    """A session setting for some lines of the driver's code; None leaves it as it is."""
+    before = spark.conf.get(key, None)
+    if value is not None:
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if value is not None:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _units(schema: pa.Schema) -> dict[str, str]:
     return {f.name: f.type.unit for f in schema if pa.types.is_timestamp(f.type)}
 
@@ -371,9 +593,9 @@ def read_parquet(spark: SparkSession, path: str) -> Records:
         units = _units(ds.dataset(path.removeprefix("file://"), format="parquet").schema)
     except (OSError, pa.ArrowException, ValueError):
         pass  # not a path that the driver can open: Spark's own types hold
-    if "ns" in units.values():
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    df = spark.read.parquet(path)
+    with setting(spark, "spark.sql.legacy.parquet.nanosAsLong", "true" if "ns" in units.values() else None):
+        df = spark.read.parquet(path)
+        df.schema  # noqa: B018  resolved while the setting holds
     tagged = {f.name: (f.metadata or {}) | {UNIT: units[f.name]} for f in df.schema.fields if f.name in units and units[f.name] != "us"}
     for name, metadata in tagged.items():
         df = df.withMetadata(name, metadata)
@@ -381,12 +603,16 @@ def read_parquet(spark: SparkSession, path: str) -> Records:
 
 
 def read_arrow(spark: SparkSession, path: str) -> Records:
-    from .arrow import ArrowFiles, read_schema
+    from .arrow import ArrowFiles, read_remote, read_schema
+    from .files import Store
 
     ship(spark)
-    spark.dataSource.register(ArrowFiles)
-    df = spark.read.format("rowforge_arrow").load(path)
-    for f in read_schema(path).fields:
+    if (store := Store(spark)).is_local(path):
+        spark.dataSource.register(ArrowFiles)
+        df, schema = spark.read.format("rowforge_arrow").load(path), read_schema(path)
+    else:
+        df, schema = read_remote(spark, path, store)
+    for f in schema.fields:
         if f.metadata:
             df = df.withMetadata(f.name, f.metadata)
     return Records(df, "arrow")

@@ -1,19 +1,23 @@
 """DataFrames to files.
 
-Text is formatted by built-in functions and written in parallel. One continuous output is those parts in order, streamed
-through the driver into the file and, on the way, its codec; otherwise the output is a folder of parts.
+All formats are written as parallel parts. One continuous output is those parts in order, streamed through the driver into
+the file and, on the way, its codec; row groups of Parquet and record batches of Arrow are copied as they are. Otherwise the
+output is a folder of parts, each a whole file: with its header, if any.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..functions.canonical import JSON_KIND, is_container
 from ..session import ship
 from . import codecs
+from .arrow import write_arrow
 from .files import Store
 from .readers import NAMES, ORIGINAL, Records
 
@@ -37,7 +41,7 @@ def check_uniform(records: Records, fmt: str) -> None:
         raise RaggedOutput(f"{fmt} output needs one schema: {records.ragged}")
     for f in records.df.schema.fields:
         if fmt != "arrow" and is_container(f.dataType):
-            raise RaggedOutput(f'{fmt} output cannot hold column "{f.name}": it is a list or map')
+            raise RaggedOutput(f'{fmt} output cannot hold column "{f.name}": its values are lists or maps')
         if (f.metadata or {}).get(JSON_KIND):
             raise RaggedOutput(f'{fmt} output cannot hold column "{f.name}": it holds values of different kinds')
     names = records.df.columns
@@ -61,22 +65,24 @@ def write(records: Records, out: str, fmt: str, *, single: bool = True, codec: s
         X.json_lines(df, NAMES).write.text(folder)
     elif fmt in ("csv", "tsv"):
         delimiter = delimiter or (",", "\t")[fmt == "tsv"]
-        if header:
+        rows = X.csv_lines(df, delimiter)
+        if header and single:
             first = (X.csv_header(original_names(df), delimiter) + "\n").encode()
-        X.csv_lines(df, delimiter).write.text(folder)
+        elif header:  # every part of a folder is a file of its own
+            rows = with_header(rows, X.csv_header(original_names(df), delimiter))
+        rows.write.text(folder)
     elif fmt == "parquet":
-        ordered = df.select(*(F.col(f"`{c}`") for c in sorted(df.columns)))
-        (ordered.coalesce(1) if single else ordered).write.parquet(folder)
+        df.select(*(F.col(f"`{c}`") for c in sorted(df.columns))).write.parquet(folder)
     elif fmt == "arrow":
-        from .arrow import ArrowFiles
-
-        spark.dataSource.register(ArrowFiles)
-        (df.coalesce(1) if single else df).write.format("rowforge_arrow").mode("append").save(folder)
+        write_arrow(df, folder, store)
     else:
         raise ValueError(f'unknown format "{fmt}"')
     parts = store.parts(folder)
     if not single:
         return len(parts)
+    if fmt == "parquet":
+        join_parquet(spark, parts, joined := f"{folder}-joined/part-0.parquet")
+        parts = [joined]
 
     def content() -> Iterator[bytes]:
         if first:
@@ -84,21 +90,77 @@ def write(records: Records, out: str, fmt: str, *, single: bool = True, codec: s
         for part in parts:
             yield from store.chunks(part)
 
-    if fmt == "arrow" and not parts:
-        store.write(out, codecs.compress(_empty_arrow(df), codec))
-    else:
-        store.write(out, codecs.compress(content(), codec))
+    plain = join_arrow([store.opened(p) for p in parts], df) if fmt == "arrow" else content()
+    store.write(out, codecs.compress(plain, codec))
     store.delete(folder.rpartition("/")[0])
     return 1
 
 
-def _empty_arrow(df: DataFrame) -> Iterator[bytes]:
-    import pyarrow as pa
+def with_header(rows: DataFrame, top: str) -> DataFrame:
+    """Lines with ``top`` ahead of those of each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = pa.RecordBatch.from_arrays([pa.array([top])], names=["value"])
+        for batch in batches:
+            if head and batch.num_rows:
+                yield head
+                head = None
+            yield batch
+
+    return rows.select("value").mapInArrow(run, "value string")
+
+
+def join_parquet(spark: SparkSession, parts: list[str], out: str) -> None:
+    """One Parquet file of the parts' row groups, as they are: pages are copied, not decoded."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop, util = jvm.org.apache.parquet.hadoop, jvm.org.apache.parquet.hadoop.util
+    files = [util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(p), conf) for p in parts]
+    reader = hadoop.ParquetFileReader.open(files[0])
+    try:
+        meta = reader.getFooter().getFileMetaData()
+    finally:
+        reader.close()
+    target = util.HadoopOutputFile.fromPath(jvm.org.apache.hadoop.fs.Path(out), conf)
+    writer = hadoop.ParquetFileWriter(target, meta.getSchema(), jvm.org.apache.parquet.hadoop.ParquetFileWriter.Mode.CREATE, 128 << 20, 0)
+    writer.start()
+    for file in files:
+        writer.appendFile(file)
+    writer.end(meta.getKeyValueMetaData())
+
+
+def join_arrow(parts: list, df: DataFrame) -> Iterator[bytes]:
+    """One Arrow file of the parts' record batches, as bytes; no more than a batch is held."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    sink = pa.BufferOutputStream()
-    pa.ipc.new_file(sink, to_arrow_schema(df.schema)).close()
-    yield sink.getvalue().to_pybytes()
+    held = _Tail()
+    writer = None
+    for part in parts:
+        source = pa.ipc.open_file(part)
+        writer = writer or pa.ipc.new_file(held, source.schema)
+        for i in range(source.num_record_batches):
+            writer.write_batch(source.get_batch(i))
+            yield held.take()
+        part.close()
+    (writer or pa.ipc.new_file(held, to_arrow_schema(df.schema))).close()
+    yield held.take()
+
+
+class _Tail(io.RawIOBase):
+    """Where a writer puts bytes that are taken away at once."""
+
+    def __init__(self):
+        self.pieces: list[bytes] = []
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.pieces.append(bytes(data))
+        return len(self.pieces[-1])
+
+    def take(self) -> bytes:
+        out, self.pieces = b"".join(self.pieces), []
+        return out
 
 
 def copy_lines(df: DataFrame, out: str, codec: str | None = None) -> int:
