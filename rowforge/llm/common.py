@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ship
+from ..sources.files import shared_folder
 
 #: A word is a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,11 +27,9 @@ def n_words(text: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a temporary one only where it names none."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rowforge-checkpoint-"))
+    """Use the shared folder that the cluster names; a temporary one only in local mode, where it names none."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,6 +38,56 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files that no plan needs any more. It does so for what the driver's JVM has collected as garbage, which may be late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Type of the places that ``placed`` gives.
+PLACE = "struct<file:bigint,row:bigint>"
+#: A key is hot if more than this share of the rows have it, so that there are no more hot keys than its inverse.
+HOT = 1 / 10_000
+
+
+def joined_by(rows: DataFrame, table: DataFrame, key: str, weight: str, only: Column | None = None, how: str = "left") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for each key and in ``weight`` how many rows have that key.
+
+    Hot keys, 10,000 at most, are broadcast and their rows stay where they are; only rows of other keys are shuffled.
+    Rows outside ``only`` have no partner and are not shuffled either. Both tables are read more than once, so they should be stored.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(weight) > max(total * HOT, 1)))
+    columns = [c for c in table.columns if c != key]
+    out = rows.join(hot, key)
+    cold = rows.join(hot.select(key), key, "left_anti")
+    if only is not None and how == "left":
+        nothing = rows.where(~F.coalesce(only, F.lit(False)))
+        out = out.unionByName(nothing.join(hot.select(key), key, "left_anti").withColumns({c: F.lit(None).cast(table.schema[c].dataType) for c in columns}).select(*out.columns))
+        cold = cold.where(only)
+    return out.unionByName(cold.join(table.where(F.col(weight) <= max(total * HOT, 1)), key, how).select(*out.columns))
+
+
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column of two longs that tells rows apart, the same in every pass.
+
+    Rows of Parquet files are told by file and row. Those of any other plan are told by Spark's partition and row, which stay only
+    as long as the input is split the same way.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        try:
+            meta = docs.metadataColumn("_metadata")
+            found = docs.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("row")))
+            found.schema  # noqa: B018  only Parquet files number their rows
+            return found
+        except AnalysisException:
+            pass
+    return docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row")))
+
+
 def fresh(*names: str) -> list[str]:
     """Column names that clash with no column of the input."""
     tag = uuid.uuid4().hex[:8]

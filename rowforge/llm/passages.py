@@ -4,20 +4,24 @@
 2. Seeds are minimizers: of every 7 neighbouring runs of 5 words the one of least hash. Any 11 words that two texts
    share hold a shared seed.
 3. Each seed is tied to one class that has it, the first in an order of classes, so a passage of m texts gives m - 1 ties, not m squared.
-   Ties of a pair of texts, a pair of word positions each, are chained: a Fenwick tree over the positions in one
+   That class may have no more than a part of a longer passage of two other texts. So a seed of more than two texts is also
+   tied by the stretches of 14 to 50 words that begin (the longest: or end) with it, each to the first class that has that stretch: the texts that share more are tied
+   to one another, whatever others have parts of it.
+4. Ties of a pair of texts, a pair of word positions each, are chained: a Fenwick tree over the positions in one
    text gives each tie its best predecessor under a gap cost linear in both distances.
-4. Chains, single seeds too, are aligned word by word, between seeds and beyond their ends; a passage is kept if it has
+5. Chains, single seeds too, are aligned word by word, between seeds and beyond their ends; a passage is kept if it has
    at least 50 words in both texts and 80 % of them match in order. Its ends are where matches last outweigh edits.
 
 A row is a passage of a document with its counterpart. Copies have one row each, for the whole text, against the class's first
 document; the other rows name the first documents of their classes.
 
-Words are runs of characters other than ASCII white space, as they are. Classes are told apart by a 64-bit hash.
+Words are runs of characters other than ASCII white space, as they are. Copies are told by 128 bits of hash. Seeds know texts by 64: should
+two texts share those, their chains are aligned with either and only what matches is kept.
 
 Defined results: null, empty and short texts have no passages; a repeated row is a copy; a null id is an id like
 any other; a document without repeated passages has no row; an empty table gives an empty result; texts of any
-length are read whole; only id and text are read. Rows are told apart by their place in the input, which must
-not change between two passes (a table's does not).
+length are read whole; only id and text are read, so further columns of any name make no difference. Later passes find texts
+by hash and id, not by place, so it does not matter how the input is split into tasks.
 """
 
 from __future__ import annotations
@@ -31,10 +35,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, fresh, map_batches, n_words, pieces, strings
+from ..session import ship
+from .common import cut, n_words, pieces, release, strings
 
 SEED = 5
 WINDOW = 7
+#: Words of the stretches that seeds of more than two texts are also compared by. Every 52 words that two texts share hold one of
+#: 40, every 62 one of 50.
+LEVELS = (14, 28, 40, 50)
+#: Stretches of this length on also count backwards from a seed.
+BACKWARD = 50
+#: Chains that one task cuts from one copy of a text, and texts asked for more often up to which a row each (16 bytes) is broadcast.
+ASKED, MOST_HOT = 2_000, 100_000
 #: Digests of texts that a task remembers in order to skip copies.
 SEEN = 50_000
 
@@ -52,6 +64,7 @@ class Rules:
 
 
 _P = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_INVERSE = np.uint64(pow(int(_P[0]), -1, 1 << 64))
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -228,129 +241,241 @@ def _seed_rows(docs: DataFrame, text: str) -> DataFrame:
     """node, position, hash, first of every text; copies within a task are skipped."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in pieces(batches, text):
-            nodes = batch.column(0).to_numpy()
+            nodes, more = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             new = []
-            for i, node in enumerate(nodes.tolist()):
-                if node not in seen:
+            for i, digest in enumerate(zip(nodes.tolist(), more.tolist(), strict=True)):
+                if digest not in seen:
                     new.append(i)
                     if len(seen) < SEEN:
-                        seen.add(node)
+                        seen.add(digest)
             if new:
-                owner, at, h, first, extent = seeds(strings(batch.column(1).take(pa.array(new))))
+                owner, at, h, first, extent = seeds(strings(batch.column(2).take(pa.array(new))))
                 columns = [pa.array(nodes[new][owner]), pa.array(at, pa.int32()), pa.array(h), pa.array(first), pa.array(extent, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "at", "seed", "first", "extent"])
 
-    return docs.mapInArrow(run, "node long, at int, seed long, first boolean, extent int")
+    return docs.select("node", "more", text).mapInArrow(run, "node long, at int, seed long, first boolean, extent int")
 
 
-def _chain_rows(ties: DataFrame, rules: Rules) -> DataFrame:
-    """Chains of every pair of classes; the rows of a pair arrive sorted and together."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole groups (equal in the first ``keys`` columns), with the bounds of the groups.
+
+    Batches of a long group are held as they are and joined once.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        first, last = (tuple(b.column(k)[i] for k in range(keys)) for b, i in ((held[0], 0), (batch, batch.num_rows - 1)))
+        if first == last:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cuts = _cuts(table, keys)
+        yield table.slice(0, int(cuts[-1])), np.concatenate(([0], cuts))
+        held = table.slice(int(cuts[-1])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.concatenate(([0], _cuts(table, keys), [table.num_rows]))
+
+
+def _cuts(table: pa.Table, keys: int) -> np.ndarray:
+    columns = [table.column(k).to_numpy() for k in range(keys)]
+    return np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+
+
+def _powers(exponents: np.ndarray, base: np.uint64) -> np.ndarray:
+    """``base`` to each exponent, modulo 2**64."""
+    out, e, factor = np.ones(len(exponents), np.uint64), exponents.astype(np.uint64), np.array([base])
+    while e.any():
+        out = np.where(e & np.uint64(1), out * factor, out)
+        factor, e = factor * factor, e >> np.uint64(1)
+    return out
+
+
+def context_keys(at: np.ndarray, seed: np.ndarray, extent: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, indexes, keys) for recurring seeds in order: which stand in unbroken stretches of recurring seeds that long, and a hash of the stretch.
+
+    Within words that two texts share, the seeds are the same but for those next to the ends; so equal words give equal keys.
+    Keys hold distances only: the seeds of many texts may follow one another, far apart.
+    """
+    n = len(at)
+    value = seed.astype(np.uint64) * _P[1] ^ _P[0]
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * _powers(at, _P[0]), dtype=np.uint64)))
+    back, every, far = _powers(at, _INVERSE), np.arange(n), at + extent - SEED
+    last_of = np.flatnonzero(np.concatenate((at[1:] - far[:-1] > WINDOW, [True])))  # the last seeds of unbroken stretches
+    mine = np.searchsorted(last_of, every)
+    stretch_end, stretch_begin = last_of[mine], np.concatenate(([0], last_of[:-1] + 1))[mine]
+    for level in LEVELS:
+        reach = level - SEED - WINDOW + 1  # as far as the words of the stretch alone decide which seeds there are
+        end = np.searchsorted(at, at + reach, side="right")
+        begin = np.searchsorted(at, at - reach, side="left")
+        right = (stretch_end >= end - 1) & (far[end - 1] + WINDOW > at + reach)
+        left = (stretch_begin <= begin) & (at[begin] - WINDOW < at - reach) & (level >= BACKWARD)
+        for side, (has, low, high) in enumerate(((right, every, end), (left, begin, every + 1))):
+            i = np.flatnonzero(has)
+            h = (total[high[i]] - total[low[i]]) * back[i] * _P[0] + np.uint64(2 * level + side)
+            h = (h ^ h >> np.uint64(32)) * _P[1]
+            yield level, i, (h ^ h >> np.uint64(29)).view(np.int64)
+
+
+def _keyed(recurring: DataFrame) -> DataFrame:
+    """Recurring seeds under their hashes and, where more than two texts have a seed, under those of the stretches that begin there."""
 
     def run(batches):
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            node, hub = (table.column(k).to_numpy() for k in (0, 1))
-            cuts = np.flatnonzero((node[1:] != node[:-1]) | (hub[1:] != hub[:-1])) + 1
-            last = int(cuts[-1]) if len(cuts) else 0
-            if last:
-                yield from chained(table.slice(0, last), np.concatenate(([0], cuts)))
-            held = table.slice(last)
-        if held is not None and len(held):
-            yield from chained(held, np.array([0, len(held)]))
-
-    def chained(table: pa.Table, cuts: np.ndarray):
-        node, hub, x, y, extent = (table.column(k).to_numpy() for k in range(5))
-        rows = []
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            px, py, far = x[s:e], y[s:e], extent[s:e]
-            if e - s > 1:  # copies in other tasks have brought the same ties
-                new = np.concatenate(([True], (np.diff(px) != 0) | (np.diff(py) != 0)))
-                px, py, far = px[new], py[new], far[new]
-            rows += [(int(node[s]), int(hub[s]), *found) for found in cut_chains(px.tolist(), py.tolist(), far.tolist(), rules)]
-        if rows:
-            columns = list(zip(*rows, strict=True))
-            ints = pa.list_(pa.int32())
+        for table, _ in _whole_groups(batches, 1):
+            node, at, seed, extent, n = (table.column(k).to_numpy() for k in range(5))
+            new = np.concatenate(([True], (node[1:] != node[:-1]) | (at[1:] != at[:-1])))  # copies in other tasks have brought the same rows
+            node, at, seed, extent, n = node[new], at[new].astype(np.int64), seed[new], extent[new].astype(np.int64), n[new]
+            text = np.cumsum(np.concatenate(([0], node[1:] != node[:-1])))
+            keyed = [(np.arange(len(at)), seed)]
+            if (n > 2).any():
+                place = at + text * (int(at.max()) + 2 * LEVELS[-1])
+                keyed += [(i[n[i] > 2], keys[n[i] > 2]) for _, i, keys in context_keys(place, seed, extent)]
+            i, keys = (np.concatenate(c) for c in zip(*keyed, strict=True))
+            order = np.lexsort((i, keys, text[i]))
+            i, keys = i[order], keys[order]
+            first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[i][1:] != text[i][:-1])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), ints, ints, pa.int32()), strict=True)], names=["node", "hub", "x", "y", "more"]
+                [pa.array(keys), pa.array(node[i]), pa.array(at[i].astype(np.int32)), pa.array(extent[i].astype(np.int32)), pa.array(first)], names=["key", "node", "at", "extent", "first"]
             )
 
-    return ties.mapInArrow(run, "node long, hub long, x array<int>, y array<int>, more int")
+    rows = recurring.select("node", "at", "seed", "extent", "n").repartition("node").sortWithinPartitions("node", "at")
+    return rows.mapInArrow(run, "key long, node long, at int, extent int, first boolean")
 
 
-def _regions(asked: DataFrame) -> DataFrame:
-    """chain, side, first word and word codes of the asked stretch of a text."""
+def _chain_rows(ties: DataFrame, rules: Rules) -> DataFrame:
+    """Chains of every pair of classes; the rows of a pair arrive sorted and together."""
+
+    def run(batches):
+        for table, cuts in _whole_groups(batches, 2):
+            node, hub, x, y, extent = (table.column(k).to_numpy() for k in range(5))
+            rows = []
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                px, py, far = x[s:e], y[s:e], extent[s:e]
+                if e - s > 1:  # seeds of several keys have brought the same ties
+                    new = np.concatenate(([True], (np.diff(px) != 0) | (np.diff(py) != 0)))
+                    px, py, far = px[new], py[new], far[new]
+                rows += [(int(node[s]), int(hub[s]), *found) for found in cut_chains(px.tolist(), py.tolist(), far.tolist(), rules)]
+            if rows:
+                ints = pa.list_(pa.int32())
+                types = (pa.int64(), pa.int64(), ints, ints, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["node", "hub", "x", "y", "more"])
+
+    return ties.mapInArrow(run, "node long, hub long, x array<int>, y array<int>, more int")
 
-    def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
-        chains, sides, starts, ends, texts = (batch.column(k).to_pylist() for k in range(5))
-        begins, codes, before, words = [], [], None, []
-        for start, end, text in zip(starts, ends, texts, strict=True):
-            if text is not before:
-                before, words = text, text.encode().split()
-            begin = max(start, 0)
-            begins.append(begin)
-            codes.append((word_codes(words[begin:end]) >> np.uint64(32)).astype(np.uint32).tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(begins, pa.int32()), pa.array(codes, pa.binary())], names=["chain", "side", "begin", "codes"])
 
-    return map_batches(asked.select("chain", "side", "start", "end", "text"), cut_out, "chain long, side int, begin int, codes binary", "text")
+def _regions(rows: DataFrame, id_type: str, rules: Rules) -> DataFrame:
+    """The stretches that chains ask of texts, as word codes.
 
+    Rows (node, text) of a text come first, then those (node, chain, side, seed positions, more) of its chains: a text is read once for all.
+    """
 
-def _aligned(both: DataFrame, rules: Rules) -> DataFrame:
     def run(batches):
+        text, words, before, who = None, None, None, None
+        for batch in pieces(batches, "text"):
+            out = []
+            ids = batch.column(1)
+            for k, (node, new, chain, side, at, more) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5, 6)), strict=True)):
+                if new is not None:
+                    if text != new or before != node:
+                        text, before, words = new, node, None
+                    who = ids[k].as_py()
+                    continue
+                if before != node:
+                    continue  # no text has this hash and id any more: the input changed
+                if words is None:
+                    words = text.encode().split()
+                begin = max(at[0] - rules.margin, 0)
+                code = (word_codes(words[begin : at[-1] + SEED + more + rules.margin]) >> np.uint64(32)).astype(np.uint32).tobytes()
+                out.append((chain, side, node, who, at, begin, code))
+            if out:
+                columns = list(zip(*out, strict=True))
+                types = (pa.int64(), pa.int32(), pa.int64(), ids.type, pa.list_(pa.int32()), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["chain", "side", "node", "id", "at", "begin", "codes"])
+
+    return rows.mapInArrow(run, f"chain long, side int, node long, id {id_type}, at array<int>, begin int, codes binary")
+
+
+def _aligned(regions: DataFrame, id_type: str, rules: Rules) -> DataFrame:
+    """Passages of chains; the two rows of a chain arrive together, that of the hub last."""
+
+    def run(batches):
+        left = None
         for batch in batches:
-            rows = []
-            for node, hub, x, y, b0, bc, a0, ac in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            rows, ids = [], batch.column(3)
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5, 6)), strict=True)):
+                if row[1] == 0:
+                    left = (row, ids[k].as_py())
+                    continue
+                if left is None or left[0][0] != row[0]:
+                    continue
+                (chain, _, node, y, b0, bc), who = left
+                _, _, hub, x, a0, ac = row
                 a, b = (np.frombuffer(c, dtype=np.uint32).tolist() for c in (ac, bc))
                 for x0, x1, y0, y1, matched in passages(a, b, [p - a0 for p in x], [p - b0 for p in y], rules):
-                    rows.append((node, hub, y0 + b0, y1 + b0, x0 + a0, x1 + a0, matched))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            names = ["node", "hub", "start_word", "end_word", "other_start", "other_end", "matched"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+                    rows.append((node, hub, who, ids[k].as_py(), y0 + b0, y1 + b0, x0 + a0, x1 + a0, matched))
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            names = ["node", "hub", "id", "other", "start_word", "end_word", "other_start", "other_end", "matched"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, ids.type if n in ("id", "other") else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
 
-    return both.mapInArrow(run, "node long, hub long, start_word long, end_word long, other_start long, other_end long, matched long")
+    return regions.mapInArrow(run, f"node long, hub long, id {id_type}, other {id_type}, start_word long, end_word long, other_start long, other_end long, matched long")
 
 
 def repeated(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages with their counterparts: ids and word ranges (ends exclusive), matching words, similarity."""
-    place, node = fresh("place", "node")
+    ship(docs.sparkSession)
     docs = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where(F.octet_length("text") >= rules.min_words)
-    docs = docs.withColumn(place, F.monotonically_increasing_id()).withColumn(node, F.xxhash64("text"))
-    rows = cut(docs.select("id", F.col(place).alias("place"), F.col(node).alias("node"), n_words(F.col("text")).alias("words")))
+    id_type = docs.dtypes[0][1]
+    docs = docs.withColumns({"node": F.xxhash64("text"), "more": F.xxhash64(F.lit(1), "text")})
+    # Places tell rows of this one table apart; later passes over the texts go by hash and id.
+    rows = cut(docs.select("id", F.monotonically_increasing_id().alias("place"), "node", "more", n_words(F.col("text")).alias("words")))
     # The first of each class by id, then by place.
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "place")
-    classes = cut(rows.groupBy("node").agg(F.min(rank).alias("rank"), F.max("words").alias("words"), F.count(F.lit(1)).alias("copies")).select(
-        "node", F.col("rank.id").alias("id"), F.col("rank.place").alias("place"), "words", "copies"
+    classes = cut(rows.groupBy("node", "more").agg(F.min(rank).alias("rank"), F.max("words").alias("words"), F.count(F.lit(1)).alias("copies")).select(
+        "node", "more", F.col("rank.id").alias("id"), F.col("rank.place").alias("place"), "words", "copies"
     ))
     many = classes.where((F.col("copies") > 1) & (F.col("words") >= rules.min_words))
-    copies = rows.select("id", "place", "node").join(many.select("node", F.col("id").alias("other"), F.col("place").alias("other_place"), "words"), "node")
+    copies = rows.select("id", "place", "node", "more").join(many.select("node", "more", F.col("id").alias("other"), F.col("place").alias("other_place"), "words"), ["node", "more"])
     copies = copies.where("place != other_place").select(
         "id", "other", F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"), F.lit(0).cast("long").alias("other_start"),
         F.col("words").alias("other_end"), F.col("words").alias("matched"), F.lit("copy").alias("kind"),
     )
-    found = _seed_rows(docs.select(F.col(node).alias("node"), "text"), "text")
-    # The class where the seed recurs furthest, then one and the same order of classes for all seeds. Plain longs keep the aggregate hashed.
+    found = _seed_rows(docs, "text")
+    # Plain longs keep the aggregate hashed and combined before the shuffle, so that a frequent seed meets no single task.
+    common = found.where("first").groupBy("seed").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n"))
+    common = cut(common.where("least < last").select("seed", "n"))
+    keyed = _keyed(cut(found.join(common, "seed").select("node", "at", "seed", "extent", "n")))
+    release(docs.sparkSession)
+    # The class where the seed recurs furthest, then one and the same order of classes for all keys.
     order = (F.shiftleft(F.col("extent").cast("long"), 40) + F.shiftrightunsigned("node", 24)).alias("order")
-    hubs = found.where("first").select("seed", "node", "at", order).groupBy("seed").agg(
+    hubs = keyed.where("first").select("key", "node", "at", order).groupBy("key").agg(
         F.max_by("node", "order").alias("hub"), F.max_by("at", "order").alias("hub_at"), F.min("node").alias("least"), F.max("node").alias("last")
     )
-    hubs = cut(hubs.where("least < last").select("seed", "hub", "hub_at"))
-    ties = found.join(hubs, "seed").where("node != hub").select("node", "hub", F.col("hub_at").alias("x"), F.col("at").alias("y"), "extent")
+    hubs = cut(hubs.where("least < last").select("key", "hub", "hub_at"))
+    ties = keyed.join(hubs, "key").where("node != hub").select("node", "hub", F.col("hub_at").alias("x"), F.col("at").alias("y"), "extent")
     ties = ties.repartition("node", "hub").sortWithinPartitions("node", "hub", "x", "y")
-    chains = cut(_chain_rows(ties, rules).withColumn("chain", F.xxhash64("node", "hub", F.element_at("x", 1), F.element_at("y", 1))))
-    asked = [
-        chains.select("chain", F.lit(side).alias("side"), F.col(key).alias("node"), (F.element_at(at, 1) - rules.margin).alias("start"), (F.element_at(at, -1) + SEED + F.col("more") + rules.margin).alias("end"))
-        for side, key, at in ((0, "node", "y"), (1, "hub", "x"))
-    ]
-    asked = asked[0].unionByName(asked[1]).join(classes.select("node", "place"), "node").drop("node")
-    regions = _regions(asked.join(docs.select(F.col(place).alias("place"), "text"), "place"))
-    side = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
-    regions = regions.groupBy("chain").agg(side(0, "begin").alias("b0"), side(0, "codes").alias("bc"), side(1, "begin").alias("a0"), side(1, "codes").alias("ac"))
-    both = chains.join(regions, "chain").select("node", "hub", "x", "y", "b0", "bc", "a0", "ac")
+    chains = cut(_chain_rows(ties, rules).withColumn("chain", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
+    asked = [chains.select(F.col(key).alias("node"), "chain", F.lit(side).alias("side"), F.col(at).alias("at"), "more") for side, key, at in ((0, "node", "y"), (1, "hub", "x"))]
+    asked = asked[0].unionByName(asked[1])
+    # A text goes to one task for every so many chains that ask for it.
+    shares = cut(asked.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("shares")))
+    hot = shares.where("shares > 1")
+    if hot.limit(MOST_HOT + 1).count() <= MOST_HOT:
+        hot = F.broadcast(hot)
+    asked = asked.join(hot, "node", "left").withColumn("share", F.coalesce(F.pmod(F.col("chain"), F.col("shares")).cast("int"), F.lit(0))).drop("shares")
+    shares = shares.join(classes.select("node", F.col("id").alias("first_id")), "node")
+    texts = docs.select("node", "id", "text").join(shares, "node").where(F.col("id").eqNullSafe(F.col("first_id")))
+    texts = texts.select("node", "id", "text", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    null = lambda t: F.lit(None).cast(t)
+    texts = texts.select("node", "id", "text", null("long").alias("chain"), F.lit(-1).alias("side"), null("array<int>").alias("at"), null("int").alias("more"), "share")
+    asked = asked.select("node", null(id_type).alias("id"), null("string").alias("text"), "chain", "side", "at", "more", "share")
+    together = texts.unionByName(asked).repartition("node", "share").sortWithinPartitions("node", "share", F.col("chain").asc_nulls_first(), "side").drop("share")
+    regions = _regions(together, id_type, rules).repartition("chain").sortWithinPartitions("chain", "side")
     # Parts of one passage may grow into the same one.
-    near = _aligned(both, rules).distinct().join(classes.select("node", "id"), "node").join(classes.select(F.col("node").alias("hub"), F.col("id").alias("other")), "hub")
+    near = _aligned(regions, id_type, rules).distinct()
     near = near.select("id", "other", "start_word", "end_word", "other_start", "other_end", "matched", F.lit("passage").alias("kind"))
     longer = F.greatest(F.col("end_word") - F.col("start_word"), F.col("other_end") - F.col("other_start"))
     return near.unionByName(copies).withColumn("similarity", F.col("matched") / longer).withColumnsRenamed({"id": id_column, "other": f"other_{id_column}"})
