@@ -5,7 +5,9 @@ Two texts are linked if the sets of their five-word shingles have a Jaccard simi
 1. Texts of equal shingle sets become one class; copies are never expanded into pairs.
 2. Each class has 160 MinHash values. Classes that share one of 32 bands of five values are candidates: a pair of
    similarity 0.8 is missed with probability 3e-6, one of 0.85 with 7e-9. Instead of the pairs of a band, each
-   class is tied to the band's least class, and the ties' connected components hold all candidate pairs.
+   class is tied to the band's least class, and the ties' connected components hold all candidate pairs. Components of more than a
+   block, which documents of one template form by chance, are taken apart by prefixes: linked sets share one of
+   the rarest fifth of their shingles, templates do not.
 3. A component is compared block against block (one block, for nearly all). MinHash values are compared 32 at a
    time; a pair is dropped when the posterior probability (uniform prior) that its similarity reaches the
    threshold falls below the tolerance. The pairs left are verified exactly on their shingle sets. A block
@@ -18,8 +20,8 @@ words. Shingles are 64-bit hashes of their words.
 Defined results: a null or empty text, or one without words, has no shingles, links to nothing and is its own
 group; repeated rows are copies; a null id is an id like any other, and a group's id is the least id that is
 not null; an empty table gives an empty result; the join reads id and text only, the filter passes all
-columns through. Rows are told apart by their place in the input, which must not change between two
-passes (a table's does not).
+columns through, whatever their names. Rows are told apart by file and row where the input is a Parquet table; any
+other input must give the same rows in the same partitions in two passes.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, fresh, map_batches, strings
+from ..session import ship
+from .common import PLACE, cut, fresh, joined_by, map_batches, pieces, placed, release, strings
 from .graph import components
 
 SHINGLE = 5
@@ -41,7 +44,9 @@ BANDS, BAND_ROWS = 32, 5
 HASHES = BANDS * BAND_ROWS
 ROUND = 32
 #: Classes and shingles of a block.
-BLOCK_CLASSES, BLOCK_SHINGLES = 128, 70_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 140_000
+#: Shingles are counted in this many buckets, as a power of two: 8 MB that reach the driver and all workers.
+COUNT_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -218,14 +223,56 @@ def hashed(docs: DataFrame, id_column: str, text: str, place: str) -> DataFrame:
             names=["id", "place", "cls", "n", "bands", "values"],
         )
 
-    docs = docs.select(id_column, text, place)
-    return map_batches(docs, signatures, f"id {docs.dtypes[0][1]}, place long, cls binary, n long, bands array<bigint>, values binary", text)
+    docs = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(place).alias("place"))
+    return map_batches(docs, signatures, f"id {docs.dtypes[0][1]}, place {PLACE}, cls binary, n long, bands array<bigint>, values binary", "text")
+
+
+def fewest_in_prefix(n: int, t: Threshold) -> int:
+    """How many of a set's n shingles, first in any one order of all shingles, must hold one of every set that is linked with it."""
+    shared = (n * t.numerator + t.denominator - 1) // t.denominator
+    return n - shared + 1
+
+
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def prefix_ties(members: DataFrame, t: Threshold) -> DataFrame:
+    """``node``, ``text`` of classes -> ties (a, b) whose components hold all linked pairs, and few others.
+
+    Shingles are ordered from rare to frequent by one table of counts, hashed into ``2 ** COUNT_BITS`` buckets whatever the
+    corpus; sets that are linked share a shingle among the first of either. What a template gives to all its documents comes last.
+    """
+
+    def count(batches):
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in pieces(batches, "text"):
+            every = np.concatenate(shingle_sets(strings(batch.column(1))))
+            total += np.bincount(_bucket(every), minlength=1 << COUNT_BITS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    found = members.select("node", "text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches):
+        for batch in pieces(batches, "text"):
+            nodes, sets = batch.column(0).to_numpy(), shingle_sets(strings(batch.column(1)))
+            first = [s[np.argsort(shared.value[_bucket(s)], kind="stable")[: fewest_in_prefix(len(s), t)]] for s in sets]  # sets are sorted: ties go by hash
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, [len(f) for f in first])), pa.array(np.concatenate(first).view(np.int64))], names=["node", "shingle"])
+
+    rows = members.select("node", "text").mapInArrow(prefixes, "node long, shingle long")
+    hubs = rows.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
+    return rows.join(hubs, "shingle").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
 def groups(docs: DataFrame, t: Threshold = Threshold(), id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
     """Every row's id, place, class, group (null if alone), group's least id, copies and links; and the place's name in ``docs``."""
+    ship(docs.sparkSession)
     (place,) = fresh("place")
-    docs = docs.withColumn(place, F.monotonically_increasing_id())
+    docs = placed(docs, place)
     rows = cut(hashed(docs, id_column, text, place))
     classes = rows.where("n > 0").groupBy("cls").agg(
         F.count(F.lit(1)).alias("copies"), F.min("place").alias("place"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("values").alias("values")
@@ -235,13 +282,16 @@ def groups(docs: DataFrame, t: Threshold = Threshold(), id_column: str = "doc_id
     bands = classes.select("node", F.explode("bands").alias("band"))
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
     ties = bands.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    near = components(ties)
-    members = classes.drop("bands").join(near, "node").drop("node")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles")).where("classes > 1")
-    blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
-    members = members.join(sizes.select("root", blocks.alias("blocks")), "root")
-    members = members.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")))
-    members = members.join(docs.select(F.col(place).alias("place"), F.col(text).alias("text")), "place")
+    texts = docs.select(F.col(place).alias("place"), F.col(text).alias("text"))
+    members = cut(_sized(classes.drop("bands").join(components(ties), "node")))
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        # A chance of sharing a band is no link: what hangs together by chance alone falls apart again.
+        large = cut(large.drop("root", "blocks").join(texts, "place"))
+        finer = large.drop("text").join(components(prefix_ties(large, t)), "node")
+        members = members.where("blocks = 1").unionByName(_sized(finer))
+    release(docs.sparkSession)
+    members = members.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks"))).join(texts, "place")
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     members = members.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "copies", "values", "text")
     found = cut(members.groupBy("root", "low", "high").applyInArrow(lambda table: _compare(table, t), "cls binary, root binary, links long"))
@@ -249,9 +299,17 @@ def groups(docs: DataFrame, t: Threshold = Threshold(), id_column: str = "doc_id
     group = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     known = classes.select("cls", "copies", "least_id").join(links, "cls", "left").join(group.withColumnRenamed("node", "cls"), "cls", "left")
     known = cut(known.where("copies > 1 OR links > 0").withColumn("root", F.coalesce("root", "cls")))
-    least = known.groupBy("root").agg(F.min("least_id").alias("group_id"))
-    known = known.join(least, "root").select("cls", "copies", "least_id", F.coalesce("links", F.lit(0)).alias("links"), F.col("root").alias("group"), "group_id")
-    return rows.drop("bands", "values").join(known, "cls", "left"), place
+    least = known.groupBy("root").agg(F.min("least_id").alias("group_id"), F.count(F.lit(1)).alias("classes"))
+    known = joined_by(known, least, "root", "classes").select("cls", "copies", "least_id", F.coalesce("links", F.lit(0)).alias("links"), F.col("root").alias("group"), "group_id")
+    return joined_by(rows.drop("bands", "values"), cut(known), "cls", "copies", F.col("n") > 0), place
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """Members of components of two and more, with the number of blocks that theirs is compared in."""
+    members = cut(members)
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles")).where("classes > 1")
+    blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    return joined_by(members, cut(sizes.select("root", blocks.alias("blocks"), "classes")), "root", "classes", how="inner").drop("classes")
 
 
 def joined(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
@@ -271,7 +329,7 @@ def distinct_documents(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame
     rows = rows.where(F.col("group").isNotNull()).select("group", "place", F.struct(F.col("id").isNull().alias("none"), "id", "place").alias("rank"))
     first = rows.groupBy("group").agg(F.min("rank").alias("rank")).select(F.col("rank.place").alias("place"))
     gone = cut(rows.select("place").join(first, "place", "left_anti").withColumnRenamed("place", place))
-    return docs.withColumn(place, F.monotonically_increasing_id()).join(gone, place, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return placed(docs, place).join(gone, place, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
