@@ -10,6 +10,8 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """``a``, ``b`` -> ``node``, ``root``: every node of an edge with the least node of its component.
 
+    An edge with a null end, or from a node to itself, joins nothing and is left out; repeated edges count once.
+
     Each round hooks every node to its least neighbour, follows that pointer once more and contracts the graph
     to the pointers. Nodes should be numbered without order (hashes), so that chains shrink by a factor each round.
     Rounds are cut by the checkpoint folder; only the question whether edges are left reaches the driver.

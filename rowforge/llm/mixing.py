@@ -12,7 +12,7 @@ threshold falls inside such a group, the same refinement by a hash of the row's
 
 Defined results: a null text has size 0 and is taken 0 words; null is a source of its own, after all
 others; a source without words has target 0; an empty table gives an empty result; a repeated row counts
-and is taken on its own; further columns of the input are left as they are.
+and is taken on its own; further columns of the input, of any name, are left as they are.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, fresh, n_words
+from .common import cut, fresh, n_words, placed
 
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 #: Bits of the hash that each pass resolves.
 BITS = 12
 HASH_BITS = 60
-#: Sources up to which a row per source (some 100 bytes) is broadcast; with more, the joins shuffle and split skewed sources.
+#: Sources up to which a row per source (some 100 bytes) is broadcast and ordered in one task; with more, the joins shuffle and split
+#: skewed sources, and the order is dealt by ranges.
 FEW_SOURCES = 50_000
 
 
@@ -42,29 +43,41 @@ def document_hash(doc_id: Column, source: Column, size: Column, seed: str) -> Co
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
+def _ordered(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], few: bool) -> DataFrame:
+    """``df`` with running sums in ``order``, the row itself included.
+
+    Few rows meet in one task. Others are dealt by ranges of the order; only a row of sums per range meets in one.
+    """
+    if few:
+        upto = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({name: F.sum(value).over(upto) for name, value in sums.items()})
+    df = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = df.groupBy("__range").agg(*(F.sum(value).alias(f"{name}__") for name, value in sums.items()))
+    ranges = ranges.select("__range", *(F.coalesce(F.sum(f"{name}__").over(ahead), F.lit(0)).alias(f"{name}__") for name in sums))
+    df = df.withColumns({name: F.sum(value).over(within) for name, value in sums.items()}).join(F.broadcast(ranges), "__range")
+    return df.withColumns({name: F.col(name) + F.col(f"{name}__") for name in sums}).drop("__range", *(f"{name}__" for name in sums))
+
+
+def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = MOST_REPEATS, few: bool = True) -> DataFrame:
     """source, source_size -> the same with ``target``.
 
     Resharing the excess of capped sources by weight until none is above its cap ends at
     ``min(cap, level * weight)`` with one level for all: with sources ordered by cap over weight, the level is
     what the uncapped ones share, at the first place where it does not exceed the next source's ratio.
-    One row per source meets in the ordering; sources are few beside documents.
     """
-    everything = Window.partitionBy(F.lit(0))
-    ranked = sizes.withColumn("__rank", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1)
-    ranked = ranked.select(
-        "source", "source_size", F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("__rank") % len(weights) + 1).cast("int")).cast("long").alias("__weight"), "__rank"
-    ).withColumn("__cap", F.col("source_size") * repeats)
-    ranked = ranked.withColumn("__ratio", F.col("__cap").cast("double") / F.col("__weight"))
-    running = _running(F.lit(0), order=["__ratio", "__rank"])
-    level = (F.sum("source_size").over(everything) - (F.sum("__cap").over(running) - F.col("__cap"))).cast("double") / (
-        F.sum("__weight").over(everything) - (F.sum("__weight").over(running) - F.col("__weight"))
-    )
-    ranked = ranked.withColumn("__level", level)
-    ranked = ranked.withColumn("__level", F.min(F.when(F.col("__level") <= F.col("__ratio"), F.struct("__ratio", "__rank", "__level"))).over(everything)["__level"])
-    uncapped = F.col("__level") * F.col("__weight")
-    capped = F.col("__cap").cast("double")
-    return ranked.select("source", "source_size", F.when(F.col("__level").isNull() | (capped <= uncapped), capped).otherwise(uncapped).alias("target"))
+    ranked = _ordered(sizes.select("source", "source_size"), [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}, few).withColumn("rank", F.col("rank") - 1)
+    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    ranked = ranked.select("source", "source_size", "rank", weight.alias("weight"), (F.col("source_size") * repeats).alias("cap"))
+    ranked = ranked.withColumn("ratio", F.col("cap").cast("double") / F.col("weight"))
+    ranked = cut(_ordered(ranked, [F.col("ratio"), F.col("rank")], {"caps": F.col("cap"), "weights": F.col("weight")}, few))
+    whole = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(whole["size"] or 0) - (F.col("caps") - F.col("cap"))).cast("double") / (F.lit(whole["weight"] or 0) - (F.col("weights") - F.col("weight")))
+    found = ranked.select("ratio", "rank", level.alias("level")).where("level <= ratio").orderBy("ratio", "rank").first()
+    capped = F.col("cap").cast("double")
+    uncapped = F.lit(found["level"] if found else float("inf")) * F.col("weight")
+    return ranked.select("source", "source_size", F.when(capped <= uncapped, capped).otherwise(uncapped).alias("target"))
 
 
 def thresholds(light: DataFrame, budgets: DataFrame, few: bool) -> DataFrame:
@@ -79,10 +92,9 @@ def thresholds(light: DataFrame, budgets: DataFrame, few: bool) -> DataFrame:
         sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
         sums = sums.withColumn("upto", F.sum("words").over(_running("source", order=["bucket"])))
         left = F.broadcast(left) if few else left
+        # Sums that grow pass the remainder once: one bucket of each source, or none.
         met = sums.join(left, sums["source"].eqNullSafe(left["__source"])).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("words") <= F.col("left")))
-        return met.groupBy("__source").agg(F.min(F.struct("bucket", "upto", "words", "left")).alias("m")).select(
-            "__source", F.col("m.bucket").alias("bucket"), (F.col("m.left") - (F.col("m.upto") - F.col("m.words"))).alias("left")
-        )
+        return met.select("__source", "bucket", (F.col("left") - (F.col("upto") - F.col("words"))).alias("left"))
 
     def inside(rows: DataFrame, met: DataFrame, bucket: Column) -> DataFrame:
         met = met.select("__source", "bucket")
@@ -114,24 +126,30 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = MOST_R
     the thresholds. Tables with one row per source are broadcast if these were counted to be few, else joined
     by a shuffle that splits hot sources.
     """
-    names = dict(zip(("size", "source_size", "target", "times", "hash", "place", "match"), fresh("size", "source_size", "target", "times", "hash", "place", "match"), strict=True))
-    size, hashed, place = n_words(F.col("text")), F.col(names["hash"]), F.col(names["place"])
-    rows = docs.select(*(docs[c] for c in columns or docs.columns), size.alias(names["size"]), *([] if columns is None or "source" in columns else [docs["source"]]))
-    rows = rows.withColumn(names["hash"], document_hash(F.col("doc_id"), F.col("source"), F.col(names["size"]), seed))
-    rows = rows.withColumn(names["place"], F.shiftright(F.xxhash64(F.monotonically_increasing_id()), 1).bitwiseAND(F.lit((1 << 63) - 1)))
-    light = cut(rows.select("source", F.col(names["size"]).alias("size"), hashed.alias("hash"), place.alias("place")))
-    goals = targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
+    names = dict(zip(_NAMES, fresh(*_NAMES), strict=True))
+    c = {k: F.col(v) for k, v in names.items()}
+    kept = [F.col(f"`{k}`") for k in columns or docs.columns]
+    rows = placed(docs, names["row"]).select(*kept, F.col("doc_id").alias(names["id"]), F.col("source").alias(names["source"]), n_words(F.col("text")).alias(names["size"]), names["row"])
+    rows = rows.withColumn(names["hash"], document_hash(c["id"], c["source"], c["size"], seed))
+    rows = rows.withColumn(names["place"], F.shiftright(F.xxhash64(c["row"]), 1).bitwiseAND(F.lit((1 << 63) - 1)))
+    light = cut(rows.select(*(c[k].alias(k) for k in ("source", "size", "hash", "place"))))
+    sizes = cut(light.groupBy("source").agg(F.sum("size").alias("source_size")))
+    few = sizes.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    goals = targets(sizes, weights, repeats, few)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = cut(goals.withColumn("whole", whole).withColumn("remainder", F.col("target") - F.col("whole") * F.col("source_size")))
-    few = goals.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     ends = thresholds(light, goals.select("source", "remainder"), few)
     goals = goals.join(ends, F.col("source").eqNullSafe(F.col("__source")), "left")
-    goals = cut(goals.select(F.col("source").alias(names["match"]), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), "whole", "at", "place_below"))
+    goals = cut(goals.select(F.col("source").alias(names["match"]), *(F.col(k).alias(names[k]) for k in ("source_size", "target", "whole", "at", "place_below"))))
     goals = F.broadcast(goals) if few else goals
-    out = rows.join(goals, rows["source"].eqNullSafe(goals[names["match"]]))
-    once_more = (hashed < F.col("at")) | ((hashed == F.col("at")) & (F.shiftright(names["place"], 64 - 2 * BITS) < F.coalesce(F.col("place_below"), F.lit(0))))
-    out = out.withColumn(names["times"], F.when(F.col(names["size"]) > 0, F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("long")).otherwise(0))
-    return out.drop("whole", "at", "place_below", names["match"], names["hash"], names["place"]), names
+    out = rows.join(goals, c["source"].eqNullSafe(c["match"]))
+    once_more = (c["hash"] < c["at"]) | ((c["hash"] == c["at"]) & (F.shiftright(c["place"], 64 - 2 * BITS) < F.coalesce(c["place_below"], F.lit(0))))
+    out = out.withColumn(names["times"], F.when(c["size"] > 0, c["whole"] + F.coalesce(once_more, F.lit(False)).cast("long")).otherwise(0))
+    return out.select(*kept, *(c[k] for k in ("size", "source_size", "target", "times"))), names
+
+
+#: What the mix adds to its input on the way, under names that no column has.
+_NAMES = ("size", "source_size", "target", "times", "hash", "place", "match", "whole", "at", "place_below", "row", "id", "source")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

@@ -101,6 +101,24 @@ def test_mix(make, nothing, spark):
     assert (again[names["times"]] if names["times"] in again else again.iloc[:, -1]).sum() == times.sum()
 
 
+def test_many_sources_are_ordered_by_ranges(spark):
+    rng = random.Random(2)
+    sizes = spark.createDataFrame([(None if k == 7 else f"s{k:03}", rng.choice([0, 5, 10, 1000, 77])) for k in range(200)], "source string, source_size long")
+    few, many = (sorted(map(tuple, mixing.targets(sizes, few=few).collect()), key=repr) for few in (True, False))
+    assert few == many
+
+
+def test_mix_leaves_columns_of_any_name(spark, make):
+    """Also those of names that the operator uses inside."""
+    docs = make([(i, "a b c " * (i % 4), "abc"[i % 3]) for i in range(30)])
+    taken = sorted((r["doc_id"] for r in mixing.mixed_documents(docs).collect()))
+    more = docs.select("*", *(F.lit(f"own {n}").alias(n) for n in ("at", "whole", "place_below", "hash_", "bucket", "upto", "left", "words", "times", "match", "target", "source_size", "row", "id", "__source", "remainder", "rank", "a.b", "copy")))
+    got = mixing.mixed_documents(more)
+    assert got.columns == more.columns
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == taken and all(r[n] == f"own {n}" for r in rows for n in ("at", "whole", "place_below", "bucket", "left", "a.b", "copy"))
+
+
 def test_mix_against_sql(spark, sf):
     got = mixing.op5_mix_to_weights(spark, sf).collect()
     c = duckdb.connect()
@@ -173,6 +191,55 @@ def test_near_duplicates(family, make, nothing):
     assert near_duplicates.joined(nothing).count() == 0 and near_duplicates.distinct_documents(nothing).count() == 0
 
 
+def template(n, shared, own, seed=12):
+    """Documents of one template: most pairs share a band of MinHash values, none is similar enough."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    common = [word() for _ in range(shared)]
+    return [(i, " ".join(common + [word() for _ in range(own)]), "t") for i in range(n)]
+
+
+def test_templates_are_not_compared_with_one_another(family, make, monkeypatch):
+    """The texts that reach the comparison do not grow with the square of a template's documents."""
+    calls = []
+    cut = near_duplicates.cut
+    monkeypatch.setattr(near_duplicates, "cut", lambda df: calls.append(cut(df)) or calls[-1])
+    monkeypatch.setattr(near_duplicates, "BLOCK_CLASSES", 16)
+    rows = template(300, 60, 40) + [(1000 + i, t, s) for i, t, s in template(40, 98, 2, seed=13)] + family
+    got = near_duplicates.joined(make(rows)).collect()
+    links, _ = brute_links(rows)
+    assert sorted((repr(r["doc_id"]), r["n_links"]) for r in got) == sorted((repr(i), n) for (i, _, _), n in zip(rows, links, strict=True))
+    sizes = [c for c in calls if c.columns == ["root", "blocks", "classes"]]
+    before, after = (max(r["classes"] for r in c.collect()) for c in sizes)
+    assert before >= 250 and after <= 50  # one component of bands; after the prefixes, the family of 40 similar ones is the largest
+
+
+def test_prefixes_hold_a_shingle_of_every_linked_set():
+    rng, t = np.random.default_rng(3), near_duplicates.Threshold()
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        base = np.arange(n, dtype=np.uint64)
+        a = rng.permutation(100)[:n]
+        b = a.copy()
+        change = rng.integers(0, n, rng.integers(0, max(1, n // 4) + 1))
+        b[change] = 100 + np.arange(len(change))
+        both = len(np.intersect1d(a, b))
+        if 5 * both >= 4 * (len(set(a.tolist()) | set(b.tolist()))):
+            x, y = (np.sort(s)[: near_duplicates.fewest_in_prefix(len(set(s.tolist())), t)] for s in (a, np.unique(b)))
+            assert np.intersect1d(x, y).size, (base, a, b)
+
+
+def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):
+    from rowforge.llm import common
+
+    monkeypatch.setattr(common, "HOT", 0.2)
+    rows = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(100)], "key long, v long")
+    table = spark.createDataFrame([(k, f"t{k}", 30) for k in range(3)] + [(k, f"t{k}", 1) for k in range(90, 97)], "key long, t string, n long")
+    got = common.joined_by(rows, table, "key", "n", F.col("key") < 96).collect()
+    assert sorted((r["v"], r["key"], r["t"]) for r in got) == [(v, k, f"t{k}" if k < 96 else None) for v, k in ((k, k % 3 if k < 90 else k) for k in range(100))]
+    assert len(common.joined_by(rows, table, "key", "n", how="inner").collect()) == 97
+
+
 def test_pruning_keeps_what_may_be_similar():
     t = near_duplicates.Threshold()
     assert near_duplicates.fewest_matches(32, t) < 32 * 0.55 and near_duplicates.fewest_matches(160, t) > 160 * 0.55
