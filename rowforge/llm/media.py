@@ -11,8 +11,9 @@ the chunks themselves where a file has neither. A shot ends where the histogram
 frames exceeds what the differences around it make usual.
 
 Defined results: a null or empty text is stored as one frame of spaces; equal texts give equal values;
-texts of any length are stored whole, in blocks of frames; an empty table gives an empty result; only
-id and text (or media) are read.
+texts of up to 580 MB are stored whole, in blocks of frames, a longer one is an error that says so (its file would pass the 2 GB of a value in
+Spark); an empty table gives an empty result; only id and text (or media) are read, so further columns of any name make no difference.
+A file that is damaged in any way has one row that says why.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ FPS = 24
 CODED = UNIT * 10 // 8
 #: Frames that one array operation works on.
 BLOCK = 2048
+#: Bytes of a payload at most: with all its bytes stuffed, a frame of 192 takes no more than 700, and a file no more than 2 GB.
+MOST_PAYLOAD = 580_000_000 // UNIT * UNIT
 BINS = 32
 
 
@@ -113,8 +116,14 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
 
+class MediaTooLarge(ValueError):
+    """More samples than one AVI file of 32-bit sizes, or one row of Spark's, can hold."""
+
+
 def write_avi(payload: bytes, fps: int = FPS) -> bytes:
     """A payload (a multiple of 192 bytes) as an AVI file."""
+    if len(payload) > MOST_PAYLOAD:
+        raise MediaTooLarge(f"a payload of {len(payload)} bytes; an AVI file of 32-bit sizes takes {MOST_PAYLOAD}")
     samples = np.frombuffer(payload, dtype=np.uint8).reshape(-1, UNIT)
     n, width, height = len(samples), COLUMNS * 8, ROWS * 8
     chunks, offsets, sizes, at = [], [], [], 4
@@ -188,16 +197,8 @@ def read_index(data: bytes) -> Index:
     if movi is None or video is None:
         raise BadMedia("no video stream or no frames")
     ids = [f"{video:02d}{k}".encode() for k in ("dc", "db")]
-    if old is not None and old[1] >= 16:
-        table = np.frombuffer(data, dtype="<u4", count=old[1] // 16 * 4, offset=old[0]).reshape(-1, 4)
-        table = table[np.isin(table[:, 0], [int.from_bytes(i, "little") for i in ids])].astype(np.int64)
-        # Offsets count from the list's kind or from the file's start, by writer.
-        if len(table):
-            first = int(table[0, 2])
-            base = movi[0] if data[movi[0] + first : movi[0] + first + 4] in ids else 0
-            return Index(fps, table[:, 2] + base + 8, table[:, 3])
     offsets, sizes = [], []
-    for where, _, _ in super_index:
+    for where, _, _ in super_index:  # the extended format's index spans all its RIFF parts, idx1 only the first
         at = where + 8
         _, _, _, used = struct.unpack_from("<HBBI", data, at)
         base = struct.unpack_from("<Q", data, at + 12)[0]
@@ -205,14 +206,44 @@ def read_index(data: bytes) -> Index:
             offset, size = struct.unpack_from("<II", data, at + 24 + 8 * i)
             offsets.append(base + offset)
             sizes.append(size & 0x7FFFFFFF)
+    if not offsets and old is not None and old[1] >= 16:
+        table = np.frombuffer(data, dtype="<u4", count=old[1] // 16 * 4, offset=old[0]).reshape(-1, 4)
+        table = table[np.isin(table[:, 0], [int.from_bytes(i, "little") for i in ids])].astype(np.int64)
+        # Offsets count from the list's kind or from the file's start, by writer.
+        if len(table):
+            first = int(table[0, 2])
+            base = movi[0] if data[movi[0] + first : movi[0] + first + 4] in ids else 0
+            return Index(fps, table[:, 2] + base + 8, table[:, 3])
     if not offsets:
-        for kind, at, size in _walk(data, movi[0] + 4, movi[1]):
-            if kind in ids:
+        for begin, end in [movi, *_later_parts(data)]:
+            for at, size in _frames_in(data, begin + 4, end, ids):
                 offsets.append(at)
                 sizes.append(size)
+    if max(offsets, default=0) > len(data):
+        raise BadMedia("the index points beyond the file")
     return Index(fps, np.array(offsets, dtype=np.int64), np.array(sizes, dtype=np.int64))
 
 
+def _frames_in(data: bytes, at: int, end: int, ids: list[bytes]):
+    """(where, size) of a list's frames and of those in its groups."""
+    for kind, a, size in _walk(data, at, end):
+        if kind in ids:
+            yield a, size
+        elif kind == b"LIST" and data[a : a + 4] == b"rec ":
+            yield from ((aa, n) for k, aa, n in _walk(data, a + 4, a + size) if k in ids)
+
+
+def _later_parts(data: bytes):
+    """Lists of frames in the RIFF parts that follow the first."""
+    at = 8 + int.from_bytes(data[4:8], "little")
+    while data[at : at + 4] == b"RIFF":
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        for kind, a, n in _walk(data, at + 12, min(len(data), at + 8 + size)):
+            if kind == b"LIST" and data[a : a + 4] == b"movi":
+                yield a, a + n
+        at += 8 + size + (size & 1)
+
+
 def read_samples(data: bytes, index: Index) -> np.ndarray:
     """The samples of frames that this module wrote, F x 192."""
     out = np.empty((len(index.offsets), UNIT), dtype=np.uint8)
@@ -241,6 +272,34 @@ def read_samples(data: bytes, index: Index) -> np.ndarray:
 
 
 _ZIGZAG = sorted(range(64), key=lambda i: ((s := i // 8 + i % 8), i // 8 if s % 2 else i % 8))
+
+
+def _huffman(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
+    """(length, code) -> symbol, from how many codes each length from 1 on has."""
+    table, code, used = {}, 0, 0
+    for length, count in enumerate(counts, 1):
+        for _ in range(count):
+            table[length, code] = symbols[used]
+            used, code = used + 1, code + 1
+        code <<= 1
+    return table
+
+
+def _standard_tables() -> dict[int, dict[tuple[int, int], int]]:
+    """The tables that motion-JPEG frames mean which carry none: class and number in the high and low half of the key."""
+    # Code lengths and the first symbols of the JPEG standard's typical tables; the other symbols follow in ascending order.
+    difference = bytes(range(12))
+    luma = bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a")
+    chroma = bytes.fromhex("0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f1".replace(" ", ""))
+    every = bytes(s for s in range(256) if 1 <= s & 15 <= 10)
+    rest = lambda first: first + bytes(s for s in every if s not in first)
+    return {
+        0x00: _huffman(bytes.fromhex("00010501010101010100000000000000"), difference), 0x10: _huffman(bytes.fromhex("0002010303020403050504040000017d"), rest(luma)),
+        0x01: _huffman(bytes.fromhex("00030101010101010101010000000000"), difference), 0x11: _huffman(bytes.fromhex("00020102040403040705040400010277"), rest(chroma)),
+    }
+
+
+_STANDARD = _standard_tables()
 _COSINE = np.array([[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)])
 
 
@@ -280,11 +339,11 @@ class _Bits:
 
 
 def decode_frame(jpeg: bytes) -> np.ndarray:
-    """Luma of any baseline JPEG that carries its tables, height x width."""
+    """Luma of any baseline JPEG, height x width; where it carries no Huffman tables, the standard's typical ones hold."""
     if jpeg[:2] != b"\xff\xd8":
         raise BadMedia("no JPEG")
     quantisers: dict[int, np.ndarray] = {}
-    tables: dict[int, dict[tuple[int, int], int]] = {}
+    tables = dict(_STANDARD)
     parts, interval, height, width, at = [], 0, 0, 0, 2
     while True:
         marker, size = jpeg[at + 1], int.from_bytes(jpeg[at + 2 : at + 4], "big")
@@ -296,14 +355,8 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
                 body = body[65 + 64 * wide :]
         elif marker == 0xC4:
             while body:
-                counts, used, code, table = body[1:17], 17, 0, {}
-                for length, count in enumerate(counts, 1):
-                    for _ in range(count):
-                        table[length, code] = body[used]
-                        used, code = used + 1, code + 1
-                    code <<= 1
-                tables[body[0]] = table
-                body = body[used:]
+                tables[body[0]] = _huffman(body[1:17], body[17:])
+                body = body[17 + sum(body[1:17]) :]
         elif marker in (0xC0, 0xC1):
             height, width = struct.unpack_from(">HH", body, 1)
             parts = [{"id": body[6 + 3 * i], "h": body[7 + 3 * i] >> 4, "v": body[7 + 3 * i] & 15, "q": body[8 + 3 * i]} for i in range(body[5])]
@@ -311,17 +364,21 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
             interval = int.from_bytes(body, "big")
         elif marker == 0xDA:
             for i in range(body[0]):
-                part = next(p for p in parts if p["id"] == body[1 + 2 * i])
+                part = next((p for p in parts if p["id"] == body[1 + 2 * i]), None)
+                if part is None:
+                    raise BadMedia("a scan of a component that the frame does not have")
                 part["dc"], part["ac"] = body[2 + 2 * i] >> 4, 16 | body[2 + 2 * i] & 15
             break
         elif 0xC2 <= marker <= 0xCF:
             raise BadMedia("not baseline")
-    if not parts or not all(k in tables for p in parts for k in (p["dc"], p["ac"])):
+    if not parts or not all(p.get("dc") in tables and p.get("ac") in tables and len(quantisers.get(p["q"], ())) == 64 and p["h"] and p["v"] for p in parts):
         raise BadMedia("a frame without its tables")
     most_h, most_v = max(p["h"] for p in parts), max(p["v"] for p in parts)
     if len(parts) == 1:
         most_h = most_v = parts[0]["h"] = parts[0]["v"] = 1
     across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+    if across * down > 4 * len(jpeg):  # a block takes two bits at least
+        raise BadMedia("more blocks than data")
     luma = parts[0]
     plane = np.zeros((down * luma["v"] * 8, across * luma["h"] * 8))
     bits, before = _Bits(jpeg[at:]), [0] * len(parts)
@@ -361,6 +418,8 @@ def frames(data: bytes) -> tuple[float, np.ndarray]:
         return index.fps, read_samples(data, index)
     except BadMedia:
         planes = [decode_frame(data[a : a + n]).ravel() for a, n in zip(index.offsets.tolist(), index.sizes.tolist(), strict=True)]
+        if len({len(p) for p in planes}) > 1:
+            raise BadMedia("frames of unlike size") from None
         return index.fps, np.stack(planes) if planes else np.zeros((0, 1), dtype=np.uint8)
 
 
@@ -434,9 +493,15 @@ def clips(media: DataFrame, id_column: str = "doc_id", column: str = "media", cu
         rows = []
         for i, data in enumerate(batch.column(1).to_pylist()):
             try:
-                rows += [(i, *clip, None) for clip in clips_of(data, cuts)] if data is not None else [(i, *[None] * 5, "null")]
-            except (BadMedia, struct.error, IndexError, KeyError) as e:
-                rows.append((i, *[None] * 5, str(e) or type(e).__name__))
+                if data is None:
+                    raise BadMedia("null")
+                if not (found := clips_of(data, cuts)):
+                    raise BadMedia("no frames")
+                rows += [(i, *clip, None) for clip in found]
+            except BadMedia as e:
+                rows.append((i, *[None] * 5, str(e)))
+            except Exception as e:  # whatever is wrong with a file is its own row's matter
+                rows.append((i, *[None] * 5, f"{type(e).__name__}: {e}"))
         columns = list(zip(*rows, strict=True)) or [()] * 7
         types = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string())
         ids = batch.column(0).take(pa.array(columns[0], pa.int64()))

@@ -68,8 +68,12 @@ def _der(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int,
     return members
 
 
+# Object identifiers of PKCS#5 (1.2.840.113549.1.5) and of PKCS#12's encryption by password (1.2.840.113549.1.12.1).
+_BY_PASSWORD = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
 def is_der_key(data: bytes) -> bool:
-    """A private or public key in DER: PKCS#1, PKCS#8, SEC1 or SubjectPublicKeyInfo."""
+    """A private or public key in DER: PKCS#1, PKCS#8 (also encrypted), SEC1 or SubjectPublicKeyInfo."""
     if len(data) < 24 or data[0] != 0x30:
         return False
     top = _der(data, 0, len(data))
@@ -84,9 +88,12 @@ def is_der_key(data: bytes) -> bool:
         if version in (b"\0", b"\1") and tags[1] in (0x30, 0x04):  # PKCS#8 and SEC1
             return True
         return len(tags) in (2, 9) and set(tags) == {0x02}  # PKCS#1
-    if tags == [0x30, 0x03]:  # SubjectPublicKeyInfo: an algorithm's identifier, then a bit string
+    if tags in ([0x30, 0x03], [0x30, 0x04]):
         algorithm = _der(data, inner[0][1], inner[0][2])
-        return bool(algorithm) and algorithm[0][0] == 0x06
+        if not algorithm or algorithm[0][0] != 0x06:
+            return False
+        # SubjectPublicKeyInfo: an algorithm's identifier, then a bit string. Encrypted PKCS#8: that of an encryption by password, then octets.
+        return tags[1] == 0x03 or data[algorithm[0][1] : algorithm[0][2]].startswith(_BY_PASSWORD)
     return False
 
 

@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -67,6 +68,62 @@ def test_shots(spark):
     assert [bool(r["error"]) for r in rows] == [False, False, False, True, True]
 
 
+def test_damaged_files_have_a_row_that_says_why(spark):
+    rng = random.Random(11)
+    whole = [media.write_avi(media.padded(t)[0]) for t in ("a short text", "a longer text " * 60, "tail" * 200)]
+    files = [None, b"", b"RIFF", whole[0][:200]]
+    for _ in range(3000):
+        data = bytearray(rng.choice(whole))
+        for _ in range(rng.randint(1, 12)):
+            k = rng.random()
+            at = rng.randrange(len(data)) if k < 0.5 else rng.randrange(min(len(data), 900))
+            if k < 0.8:
+                data[at] = rng.randrange(256)
+            elif k < 0.9:
+                del data[at : at + rng.randint(1, 40)]
+            else:
+                data[at:at] = rng.randbytes(rng.randint(1, 8))
+        files.append(bytes(data))
+    docs = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "doc_id long, media binary")
+    rows = media.clips(docs).collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(files)))
+    assert all((r["error"] is None) == (r["clip"] is not None) for r in rows) and sum(r["error"] is not None for r in rows) > 500
+
+
+def test_frames_without_tables_and_extended_files():
+    text = "frames of a file that has no tables of its own " * 20
+    payload = media.padded(text)[0]
+    data = media.write_avi(payload)
+    index = media.read_index(data)
+    # The standard's typical tables: every code length is used up, no symbol comes twice.
+    for key, n in ((0x00, 12), (0x01, 12), (0x10, 162), (0x11, 162)):
+        table = media._STANDARD[key]
+        assert len(table) == n == len(set(table.values())) and sum(2.0 ** -length for length, _ in table) < 1.0
+    # A grey block of the standard's: difference category 0 is 00, end of block 1010.
+    bits = "001010" * 12 * 16
+    body = int(bits, 2).to_bytes(len(bits) // 8, "big")
+    head = media.HEADER
+    while (at := head.find(b"\xff\xc4")) >= 0:
+        head = head[:at] + head[at + 2 + int.from_bytes(head[at + 2 : at + 4], "big") :]
+    bare = head + body.replace(b"\xff", b"\xff\0") + b"\xff\xd9"
+    assert (media.decode_frame(bare) == 128).all()
+    # Later RIFF parts and grouped frames count where there is no index.
+    frame = data[index.offsets[0] : index.offsets[0] + index.sizes[0]]
+    chunk = b"00dc" + struct.pack("<I", len(frame)) + frame + b"\0" * (len(frame) & 1)
+    cut_at = data.index(b"idx1")
+    first = data[:4] + struct.pack("<I", cut_at - 8) + data[8:cut_at]
+    group = b"LIST" + struct.pack("<I", 4 + len(chunk)) + b"rec " + chunk
+    movi = b"LIST" + struct.pack("<I", 4 + len(group) + len(chunk)) + b"movi" + group + chunk
+    more = b"RIFF" + struct.pack("<I", 4 + len(movi)) + b"AVIX" + movi
+    assert len(media.read_index(first + more).offsets) == len(index.offsets) + 2
+
+
+def test_payloads_beyond_a_file_are_refused(monkeypatch):
+    monkeypatch.setattr(media, "MOST_PAYLOAD", 192)
+    with pytest.raises(media.MediaTooLarge, match="384 bytes"):
+        media.write_avi(b" " * 384)
+
+
 def test_stored_files_are_read_back(odd):
     both = media.stored(odd.where("doc_id = 1"))
     assert media.frames(both.first()["media"])[1].tobytes().rstrip(b" ").decode() == ODD[0][1]
@@ -195,7 +252,10 @@ def test_structures():
     box = b"openssh-key-v1\0" + lengthed(b"none", b"none", b"") + (1).to_bytes(4, "big") + lengthed(ssh, rng.randbytes(136))
     seg = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
     token = f"{seg(json.dumps({'alg': 'HS256'}).encode())}.{seg(b'{}')}.{seg(rng.randbytes(32))}"
-    for data, kind in ((private, "der"), (pkcs8, "der"), (public, "der"), (ssh, "ssh"), (box, "ssh")):
+    sealed = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, der(4, rng.randbytes(8)), der(2, b"\x08\x00"))), der(4, rng.randbytes(160)))
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")), der(5)), der(4, rng.randbytes(32)))  # no key: a hash and its algorithm
+    assert secrets.confirmed_spans(base64.b64encode(digest).decode()) == []
+    for data, kind in ((private, "der"), (pkcs8, "der"), (public, "der"), (sealed, "der"), (ssh, "ssh"), (box, "ssh")):
         run = base64.b64encode(data).decode()
         assert [k for _, _, k in secrets.confirmed_spans(f"key {run} end")] == [kind]
         lines = "\n".join(run[i : i + 64] for i in range(0, len(run), 64))
@@ -209,6 +269,13 @@ def test_structures():
     assert secrets.confirmed_spans("eyJhbGciOiJub25lIn0x.abcdef.ghijklmnopqrstuvw") == []
 
 
+def test_tokens_with_spaced_headers():
+    seg = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    for header in (b'{"alg":"HS256"}', b'{ "alg": "HS256" }', b'{\n  "typ": "JWT",\n  "alg": "RS256"\n}', b' {"alg":"none"}', b'\t{"alg":"ES256"}'):
+        token = f"{seg(header)}.{seg(b'{}')}.{seg(bytes(range(32)))}"
+        assert secrets.confirmed_spans(f"token {token} end") == [(6, 6 + len(token), "jwt")], header
+
+
 def test_redaction(make):
     rows = [(1, "clean words stay", "a"), (2, "token = abcdefgh1 and token=zzzzzzzzz, end é", "a"), (3, None, "a"), (4, "", "a")]
     docs = make(rows)
