@@ -4,17 +4,19 @@
 Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``:
 rejected documents and all but one of each near-duplicate group go, secrets are replaced in the texts, the mix drops
 and repeats documents, and the last stage encodes what is left.
+
+Defined results: documents with a null, empty or short text are rejected by the first stage; a null id, lang or source is a value like any other
+(null is a source of its own); of repeated rows and other copies one is kept, the first of those of the least id, and the mix may
+repeat it; texts of any length are processed whole; an empty table, or one of which no document is kept, gives an empty result of
+the same columns; further columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from rowforge.llm import bpe, mixing, near_duplicates, quality_rules, secrets
+from rowforge.sources.files import Store
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared checkpoint folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowforge-pipeline-")
-    base = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        out.write.parquet(path := f"{base}/{i}-{name}")
-        docs = spark.read.parquet(path)
-    return docs
+    """All stages over ``documents``, each written to the shared checkpoint folder and read again; what no later stage reads is deleted."""
+    store = Store(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(path := store.scratch(name))
+        if before:
+            store.delete(before.rpartition("/")[0])
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
