@@ -130,6 +130,44 @@ def sink_csv(spark, sf):
     return X.csv_lines(table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")).withColumnRenamed("value", "line")
 
 
+def awkward(df: DataFrame) -> DataFrame:
+    """Nations with texts that sinks must escape, nulls and floats."""
+    k = F.col("n_nationkey")
+    said = F.when(k % 5 == 0, None).when(k % 5 == 1, F.concat("n_name", F.lit(', "so", \\ he said'))).when(k % 5 == 2, F.concat(F.lit(" "), "n_name")).when(k % 5 == 3, F.concat("n_name", F.lit("\nnext"))).otherwise(F.lit(""))
+    return df.select(k.alias("k"), said.alias("s"), (k / 8).alias("f"), (k % 2 == 0).alias("b"))
+
+
+_AWKWARD = """with t as (select n_nationkey k, case n_nationkey % 5 when 0 then null when 1 then n_name || ', "so", \\ he said' when 2 then ' ' || n_name when 3 then n_name || chr(10) || 'next' else '' end s,
+    n_nationkey / 8.0 f, n_nationkey % 2 = 0 b from nation), u as (select *, case when f = floor(f) then cast(f::bigint as varchar) else cast(f::double as varchar) end ft, cast(b as varchar) bt from t)"""
+
+
+@query("sink_json_escapes", _AWKWARD + """ select '{"k":' || k || ',"s":' || coalesce('"' || replace(replace(replace(s, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '"', 'null') || ',"f":' || ft || ',"b":' || bt || '}' as doc from u""")
+def sink_json_escapes(spark, sf):
+    return X.json_lines(awkward(table(spark, sf, "nation"))).withColumnRenamed("value", "doc")
+
+
+@query("sink_csv_quoting", _AWKWARD + """ select k || ',' || case k % 5 when 0 then '' when 4 then '' else '"' || replace(s, '"', '""') || '"' end || ',' || ft || ',' || bt as line from u""")
+def sink_csv_quoting(spark, sf):
+    return X.csv_lines(awkward(table(spark, sf, "nation"))).withColumnRenamed("value", "line")
+
+
+@query("scan_csv_folder", "select cast(s_suppkey as varchar) s_suppkey, s_name from supplier")
+def scan_csv_folder(spark, sf):
+    """Every file of a folder has the header, and every one is taken off."""
+    out = Store(spark).scratch("supplier.csv")
+    df = table(spark, sf, "supplier").select("s_suppkey", "s_name").repartition(3)
+    writers.write(readers.Records(df, "parquet"), out, "csv", header=True, single=False)
+    return readers.read(spark, out, "csv", header=True).df
+
+
+@query("scan_csv_multiline", _AWKWARD + " select cast(k as varchar) k, coalesce(s, '') s, ft as f, bt as b from u")
+def scan_csv_multiline(spark, sf):
+    """Line breaks inside quotes."""
+    out = Store(spark).scratch("nation.csv")
+    writers.write(readers.Records(awkward(table(spark, sf, "nation")), "parquet"), out, "csv", header=True)
+    return readers.read(spark, out, "csv", header=True).df
+
+
 @query("sink_parquet_sorted", "select n_name,n_nationkey,n_regionkey from nation")
 def sink_parquet(spark, sf):
     out = Store(spark).scratch("nation.parquet")
@@ -217,10 +255,19 @@ def where_misses(spark, sf):
     return df.agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(bound.match).alias("kept"), F.sum(bound.misses).cast("long").alias("misses"))
 
 
-@query("where_unseen", "select 'nmae' as unseen")
+@query("where_unseen", "select 'nmae' as unseen, n_nationkey from nation where n_nationkey >= 20")
 def where_unseen(spark, sf):
-    unseen = Predicate.parse("nmae = 'x' or n_nationkey >= 0").bind(table(spark, sf, "nation").schema).unseen
-    return spark.createDataFrame([(u,) for u in unseen], "unseen string")
+    """A column that no record has matches nothing and is named."""
+    df, p = table(spark, sf, "nation"), Predicate.parse("nmae = 'x' or n_nationkey >= 20")
+    return p.filter(df).select(F.lit(",".join(p.bind(df.schema).unseen)).alias("unseen"), "n_nationkey")
+
+
+@query("where_years", "select unnest([1, 2]) as k")
+def where_years(spark, sf):
+    """Timestamps of years beyond four digits compare as their texts do, which begin with a sign. The rows are of the years 9996, 9998, 10001 and 10003."""
+    micros = F.lit(253_402_300_800_000_000) + (F.col("k") * 2 - 5) * F.lit(31_622_400_000_000)
+    rows = spark.sql("select explode(array(1, 2, 3, 4)) as k").withColumn("t", F.timestamp_micros(micros))
+    return Predicate.parse("t >= '9995-01-01'").filter(rows).select("k")
 
 
 # --- transforms and stages -------------------------------------------------------------------------------
@@ -347,6 +394,16 @@ def profile_approx_bounds(spark, sf):
 # --- runs ------------------------------------------------------------------------------------------------
 
 
+@query("deliver_stats", """select count(*)::bigint as rows_read, count(*) filter (where not (n_nationkey >= 20))::bigint as rows_filtered, 25::bigint as predicate_misses,
+    count(*) filter (where n_nationkey >= 20)::bigint as documents from nation""")
+def deliver_stats(spark, sf):
+    documents: list[bytes] = []
+    o = api.Options(input_format="parquet", where="n_nationkey >= 20 or n_name > 5")
+    stats = api.deliver(spark, f"{sf}/nation.parquet", documents.append, o)
+    misses = stats.predicate_misses + len(documents)  # the right side is not asked where the left one holds
+    return spark.createDataFrame([(stats.rows_read, stats.rows_filtered, misses, len(documents))], "rows_read long, rows_filtered long, predicate_misses long, documents long")
+
+
 @query("consume_sum", "select count(*) as n, cast(sum(o_orderkey) as bigint) as s from orders")
 def consume_sum(spark, sf):
     import pyarrow.compute as pc

@@ -100,11 +100,11 @@ def with_header(rows: DataFrame, top: str) -> DataFrame:
     """Lines with ``top`` ahead of those of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = pa.RecordBatch.from_arrays([pa.array([top])], names=["value"])
+        begun = False
         for batch in batches:
-            if head and batch.num_rows:
-                yield head
-                head = None
+            if batch.num_rows and not begun:
+                yield pa.RecordBatch.from_arrays([pa.array([top], batch.schema.field(0).type)], schema=batch.schema)
+                begun = True
             yield batch
 
     return rows.select("value").mapInArrow(run, "value string")

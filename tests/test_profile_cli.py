@@ -85,6 +85,20 @@ def test_space_saving_bounds():
     assert len(s.counts) == 3 and sum(n for n, _ in s.counts.values()) == 9
 
 
+def test_errors_of_estimates_hold_across_tables(spark):
+    """A value that one partition counts exactly and another has lost may have been counted there as often as its least counter."""
+    from rowforge.operators.profile import approximate_counts
+
+    rows = [(0, "x")] * 3 + [(0, f"a{i}") for i in range(40)] * 5 + [(1, "x")] * 200 + [(1, "y")] * 4
+    df = spark.createDataFrame(rows, "p int, k string").repartitionByRange(2, "p").select("k")
+    assert df.rdd.getNumPartitions() == 2
+    true = {}
+    for _, k in rows:
+        true[k] = true.get(k, 0) + 1
+    got = {r["text"]: (r["n"], r["max_error"]) for r in approximate_counts(df, 10).collect()}
+    assert got["x"][1] > 0 and all(abs(n - true[k]) <= e for k, (n, e) in got.items())
+
+
 def test_consume(spark, people):
     n = consume(spark, people, lambda batches: sum(b.num_rows for b in batches), lambda a, b: a + b, Options(where="age >= 70"))
     assert n == 140

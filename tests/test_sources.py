@@ -161,6 +161,116 @@ def test_csv_shapes(spark, tmp_path):
     assert read(spark, str(c), "csv", delimiter=";", header=True).df.collect()[0]["b"] == ",2"
 
 
+def test_headers_of_folders(spark, tmp_path):
+    a = tmp_path / "a.csv"
+    a.write_text("id,name\n" + "".join(f"{i},n{i}\n" for i in range(30)))
+    for fmt in ("csv", "tsv"):
+        out = tmp_path / f"out.{fmt}"
+        o = Options(csv_has_header=True, single_file=False, where="id > 0", output_format=fmt)
+        stats = process(spark, str(a), str(out), o)
+        assert stats.rows_filtered == 1
+        parts = [p.read_text().splitlines() for p in out.glob("part-*")]
+        assert all(p[0] == "id,name".replace(",", "," if fmt == "csv" else "\t") for p in parts if p)
+        back = read(spark, str(out), fmt, header=True)
+        assert sorted(int(r["id"]) for r in back.df.collect()) == list(range(1, 30)) and back.df.columns == ["id", "name"]
+    two = tmp_path / "two"
+    two.mkdir()
+    (two / "a.csv").write_text("id,name\n1,x\nid,name\n")  # a data line like the header stays
+    (two / "b.csv").write_bytes(b"\xef\xbb\xbf\r\nid,name\r\n2,y\r\n")
+    assert sorted(map(tuple, read(spark, str(two), "csv", header=True).df.collect())) == [("1", "x"), ("2", "y"), ("id", "name")]
+    (two / "a.csv").write_text('id,name\n1,"x\ny"\n')
+    assert sorted(map(tuple, read(spark, str(two), "csv", header=True).df.collect())) == [("1", "x\ny"), ("2", "y")]
+    out: list[bytes] = []
+    from rowforge import deliver
+
+    deliver(spark, str(two), out.append, Options(input_format="csv", output_format="csv", csv_has_header=True))
+    assert sum(d.count(b"id,name\n") for d in out) >= 1 and b"".join(out).replace(b"id,name\n", b"") in (b'1,"x\ny"\n2,y\n', b'2,y\n1,"x\ny"\n')
+    (two / "b.csv").write_text("id,other\n2,y\n")
+    with pytest.raises(BadInput, match="header"):
+        read(spark, str(two), "csv", header=True).df.collect()
+
+
+@pytest.mark.parametrize("size", ["40", "97", "1000"])
+def test_records_across_splits(spark, tmp_path, size):
+    import csv
+    import random
+
+    rng = random.Random(int(size))
+    rows = [["a", "b", "c"]] + [[str(i), "".join(rng.choice(['x', '"', "\n", ",", "long word ", "\n\n"]) for _ in range(rng.randint(0, 30))), rng.choice(["", "z"])] for i in range(60)]
+    path = tmp_path / "m.csv"
+    with path.open("w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = read(spark, str(path), "csv", header=True).df
+        assert found.rdd.getNumPartitions() > 1
+        assert [list(r) for r in found.collect()] == rows[1:] and found.columns == rows[0]
+        path.write_text(path.read_text() + '9,"open')
+        with pytest.raises(Exception, match="quoted field"):
+            read(spark, str(path), "csv", header=True).df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_with_quotes_as_the_parser_reads_them(spark, tmp_path):
+    import random
+
+    from rowforge.sources.readers import parse_fields
+
+    rng = random.Random(6)
+    path = tmp_path / "q.csv"
+    for delimiter in (",", "|", "\t", "-"):
+        lines_of = []
+        while len(lines_of) < 200:
+            line = delimiter.join('"' + "".join(rng.choice(["a", '""', delimiter, " ", "é"]) for _ in range(rng.randint(0, 4))) + '"' if rng.random() < 0.5 else rng.choice(["", "b", " c", "0.5"]) for _ in range(3))
+            if line:
+                lines_of.append(line)
+        path.write_text("\n".join(lines_of) + "\n")
+        assert [list(r) for r in read(spark, str(path), "csv", delimiter=delimiter).df.collect()] == [parse_fields(x, delimiter)[0] for x in lines_of]
+
+
+def test_flat_lines_told_by_a_pattern(spark, tmp_path):
+    from rowforge.sources.readers import _uniform
+
+    def kinds(*rows):
+        return _uniform(spark.createDataFrame([(r,) for r in rows], "value string"))
+
+    assert kinds('{"a":1,"b":"x\\n\\u00e9","c":null,"d":1.5,"e":true}', ' { "a" : -20 , "b":null,"c":null,"d":2e3,"e":false}\r', "") == {"a": "int", "b": "str", "c": None, "d": "float", "e": "bool"}
+    for other in ('{"a":1,"a":2}', '{"b":1}', '{"a":1.0}', '{"a":01}', '{"a":"1"}', '{"a":1} x', '{"a":1,}', '{"a":12345678901234567890}', '{"a":[1]}', '{"a":1', "nonsense"):
+        assert kinds('{"a":1}', other) is None and kinds(*['{"a":1}'] * 150, other) is None, other
+    for text in ('{"a":"\x01"}', '{"a":"\\ud800"}', '{"a":"\\x"}', '{"a":"b"c"}'):
+        assert kinds(*['{"a":"ok"}'] * 150, text) is None, text
+
+
+def test_settings_are_as_before(spark, tmp_path):
+    a = tmp_path / "a.ndjson"
+    a.write_text('{"a":1}\n')
+    for key in ("spark.sql.caseSensitive", "spark.sql.legacy.parquet.nanosAsLong"):
+        spark.conf.unset(key)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.caseSensitive", "spark.sql.legacy.parquet.nanosAsLong")}
+    process(spark, str(a), str(tmp_path / "o.parquet"), Options(output_format="parquet"))
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"t": pa.array([1], pa.timestamp("ns"))}), tmp_path / "n.parquet")
+    assert read(spark, str(tmp_path / "n.parquet"), "parquet").df.collect()[0]["t"] == 1
+    assert {k: spark.conf.get(k) for k in before} == before
+
+
+def test_a_store_that_only_spark_reads(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.t.link./d", f"file://{tmp_path}")
+    base = "viewfs://t/d"
+    for fmt in ("arrow", "parquet", "csv", "json"):
+        df = spark.range(50).selectExpr("id", "concat('n', id) AS name").repartition(3)
+        from rowforge.sources import readers, writers
+
+        writers.write(readers.Records(df, "parquet"), f"{base}/many.{fmt}", fmt, single=False, header=True)
+        process(spark, f"{base}/many.{fmt}", f"{base}/one.{fmt}", Options(input_format=fmt, output_format=fmt, csv_has_header=True))
+        back = read(spark, f"{base}/one.{fmt}", fmt, header=True).df
+        assert sorted(int(r["id"]) for r in back.collect()) == list(range(50)), fmt
+
+
 def test_compressed_files(spark, tmp_path):
     a = tmp_path / "a.csv"
     a.write_bytes(gzip.compress(b"id,name\n1,ann\n2,bob\n"))  # named like plain CSV, gzip inside
@@ -213,7 +323,8 @@ def test_documents(spark, tmp_path):
 
     out, stats = documents(source)
     assert out == source.splitlines() and stats.rows_read == 25
-    out, _ = documents(source, where="i >= 20")
+    out, stats = documents(source, where="i >= 20 or s > 3")
+    assert (stats.rows_read, stats.rows_filtered, stats.predicate_misses) == (25, 20, 20)
     assert [json.loads(d)["i"] for d in out] == list(range(20, 25))
     out, stats = documents(source, output_format="csv", batch_size=10, csv_has_header=True)
     assert [len(d.splitlines()) for d in out] == [11, 10, 5] and out[0].startswith(b'i,s\n0,"x,0"\n') and stats.rows_read == 25
