@@ -367,35 +367,25 @@ def _chain_rows(ties: DataFrame, rules: Rules) -> DataFrame:
 
 
 def _regions(rows: DataFrame, id_type: str, rules: Rules) -> DataFrame:
-    """The stretches that chains ask of texts, as word codes.
-
-    Rows (node, text) of a text come first, then those (node, chain, side, seed positions, more) of its chains: a text is read once for all.
-    """
+    """(node, id, text, asks) -> the stretches that chains ask of a text, as word codes; a text is split into words once for all."""
 
     def run(batches):
-        text, words, before, who = None, None, None, None
         for batch in pieces(batches, "text"):
-            out = []
-            ids = batch.column(1)
-            for k, (node, new, chain, side, at, more) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5, 6)), strict=True)):
-                if new is not None:
-                    if text != new or before != node:
-                        text, before, words = new, node, None
-                    who = ids[k].as_py()
-                    continue
-                if before != node:
-                    continue  # no text has this hash and id any more: the input changed
-                if words is None:
-                    words = text.encode().split()
+            asks = batch.column(3)
+            owner = np.repeat(np.arange(len(asks)), np.diff(asks.offsets.to_numpy()))
+            flat = asks.flatten()
+            texts, before, words, begins, codes = batch.column(2), -1, [], [], []
+            for k, at, more in zip(owner.tolist(), flat.field("at").to_pylist(), flat.field("more").to_pylist(), strict=True):
+                if k != before:
+                    before, words = k, texts[k].as_py().encode().split()
                 begin = max(at[0] - rules.margin, 0)
-                code = (word_codes(words[begin : at[-1] + SEED + more + rules.margin]) >> np.uint64(32)).astype(np.uint32).tobytes()
-                out.append((chain, side, node, who, at, begin, code))
-            if out:
-                columns = list(zip(*out, strict=True))
-                types = (pa.int64(), pa.int32(), pa.int64(), ids.type, pa.list_(pa.int32()), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["chain", "side", "node", "id", "at", "begin", "codes"])
+                begins.append(begin)
+                codes.append((word_codes(words[begin : at[-1] + SEED + more + rules.margin]) >> np.uint64(32)).astype(np.uint32).tobytes())
+            node, who = (batch.column(c).take(pa.array(owner)) for c in (0, 1))
+            columns = [flat.field("chain"), flat.field("side"), node, who, flat.field("at"), pa.array(begins, pa.int32()), pa.array(codes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chain", "side", "node", "id", "at", "begin", "codes"])
 
-    return rows.mapInArrow(run, f"chain long, side int, node long, id {id_type}, at array<int>, begin int, codes binary")
+    return rows.select("node", "id", "text", "asks").mapInArrow(run, f"chain long, side int, node long, id {id_type}, at array<int>, begin int, codes binary")
 
 
 def _aligned(regions: DataFrame, id_type: str, rules: Rules) -> DataFrame:
@@ -460,20 +450,15 @@ def repeated(docs: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id",
     release(docs.sparkSession)
     asked = [chains.select(F.col(key).alias("node"), "chain", F.lit(side).alias("side"), F.col(at).alias("at"), "more") for side, key, at in ((0, "node", "y"), (1, "hub", "x"))]
     asked = asked[0].unionByName(asked[1])
-    # A text goes to one task for every so many chains that ask for it.
-    shares = cut(asked.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("shares")))
-    hot = shares.where("shares > 1")
-    if hot.limit(MOST_HOT + 1).count() <= MOST_HOT:
-        hot = F.broadcast(hot)
-    asked = asked.join(hot, "node", "left").withColumn("share", F.coalesce(F.pmod(F.col("chain"), F.col("shares")).cast("int"), F.lit(0))).drop("shares")
-    shares = shares.join(classes.select("node", F.col("id").alias("first_id")), "node")
-    texts = docs.select("node", "id", "text").join(shares, "node").where(F.col("id").eqNullSafe(F.col("first_id")))
-    texts = texts.select("node", "id", "text", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    null = lambda t: F.lit(None).cast(t)
-    texts = texts.select("node", "id", "text", null("long").alias("chain"), F.lit(-1).alias("side"), null("array<int>").alias("at"), null("int").alias("more"), "share")
-    asked = asked.select("node", null(id_type).alias("id"), null("string").alias("text"), "chain", "side", "at", "more", "share")
-    together = texts.unionByName(asked).repartition("node", "share").sortWithinPartitions("node", "share", F.col("chain").asc_nulls_first(), "side").drop("share")
-    regions = _regions(together, id_type, rules).repartition("chain").sortWithinPartitions("chain", "side")
+    # A text goes out once for every so many chains that ask for it, with what they ask.
+    counts = cut(asked.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("shares"))).where("shares > 1")
+    if counts.limit(MOST_HOT + 1).count() <= MOST_HOT:
+        counts = F.broadcast(counts)
+    asked = asked.join(counts, "node", "left").withColumn("share", F.coalesce(F.pmod("chain", "shares"), F.lit(0)))
+    asked = asked.groupBy("node", "share").agg(F.collect_list(F.struct("chain", "side", "at", "more")).alias("asks"))
+    asked = asked.join(classes.select("node", F.col("id").alias("first_id")), "node").withColumnRenamed("node", "asked_node")
+    asked = asked.join(docs.select("node", "id", "text"), (F.col("node") == F.col("asked_node")) & F.col("id").eqNullSafe(F.col("first_id")))
+    regions = _regions(asked, id_type, rules).repartition("chain").sortWithinPartitions("chain", "side")
     # Parts of one passage may grow into the same one.
     near = _aligned(regions, id_type, rules).distinct()
     near = near.select("id", "other", "start_word", "end_word", "other_start", "other_end", "matched", F.lit("passage").alias("kind"))
