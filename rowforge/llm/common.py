@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,9 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Seconds that Python's bridge to the JVM may take to pass on what Python no longer holds.
+PAUSE = 2.0
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark delete shuffle files that no plan needs any more. It does so for what the driver's JVM has collected as garbage, which may be late."""
     gc.collect()
+    time.sleep(PAUSE)
     spark._jvm.System.gc()
 
 

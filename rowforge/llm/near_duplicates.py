@@ -44,7 +44,7 @@ BANDS, BAND_ROWS = 32, 5
 HASHES = BANDS * BAND_ROWS
 ROUND = 32
 #: Classes and shingles of a block.
-BLOCK_CLASSES, BLOCK_SHINGLES = 256, 140_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 128, 70_000
 #: Shingles are counted in this many buckets, as a power of two: 8 MB that reach the driver and all workers.
 COUNT_BITS = 20
 
@@ -283,15 +283,15 @@ def groups(docs: DataFrame, t: Threshold = Threshold(), id_column: str = "doc_id
     hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last")
     ties = bands.join(hubs, "band").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     texts = docs.select(F.col(place).alias("place"), F.col(text).alias("text"))
-    members = cut(_sized(classes.drop("bands").join(components(ties), "node")))
+    members = _sized(classes.drop("bands").join(components(ties), "node"))
+    members = cut(members.join(texts, "place").drop("place"))  # the one shuffle of texts
+    release(docs.sparkSession)
     large = members.where("blocks > 1")
     if not large.isEmpty():
         # A chance of sharing a band is no link: what hangs together by chance alone falls apart again.
-        large = cut(large.drop("root", "blocks").join(texts, "place"))
-        finer = large.drop("text").join(components(prefix_ties(large, t)), "node")
-        members = members.where("blocks = 1").unionByName(_sized(finer))
-    release(docs.sparkSession)
-    members = members.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks"))).join(texts, "place")
+        finer = _sized(large.select("node", "n").join(components(prefix_ties(large, t)), "node"))
+        members = members.where("blocks = 1").unionByName(large.drop("root", "blocks").join(finer.drop("n"), "node"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     members = members.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "copies", "values", "text")
     found = cut(members.groupBy("root", "low", "high").applyInArrow(lambda table: _compare(table, t), "cls binary, root binary, links long"))

@@ -3,12 +3,15 @@
 Each word, each run of 3 to 5 characters of a word with its edges, and each pair of neighbouring words has a
 vector in a hashed table. A document is the average of its vectors; a softmax layer reads it. Tables and layer are
 trained together by stochastic gradient descent in numpy, on the driver, from a bounded sample of labelled
-rows. Since the layer is linear, a vector's share of the output is one number per bucket, and that table
+rows, a row at a time with a rate that falls to zero. The layer moves by its gradient, its bias by a tenth of it. A vector moves by its gradient
+times the number of different buckets of the row, four times as far at most: what is one of a thousand in an
+average would else hardly move. Since the layer is linear, a vector's share of the output is one number per bucket, and that table
 (bounded by the number of buckets) is what is broadcast.
 
 Defined results: a null or empty text averages nothing and is scored by the layer's bias; repeated rows get
 equal scores; if the sample lacks rows of either label, every score is the share of label 1 (0 without
-rows); repeated and null labels are treated as for toxicity; an empty table gives an empty result.
+rows); a label's repeated rows count once, as 1 if any says 1; null labels and ids are not learnt from; a document with a null id is scored
+like any other; an empty table gives an empty result; only doc_id, text and the label are read, so further columns of any name make no difference.
 """
 
 from __future__ import annotations

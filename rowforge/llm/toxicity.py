@@ -1,5 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
+A word counts as it is and by its first five letters; pairs of words with none, one or two between them count as well.
+
 The model is fitted on the driver from a bounded sample of labelled rows (:class:`Fit`). Per-coordinate
 learning rates follow the gradients that each coordinate has seen; the L1 term keeps all but the telling
 coordinates at zero, so the weights are a short list whose size is bounded by the number of buckets: a proven
@@ -8,7 +10,7 @@ bound for the broadcast. Scoring reads every whole text once, without a shuffle.
 Defined results: a null or empty text has the score of the bias alone; repeated rows get equal scores; if the
 sample lacks rows of either label, every score is the share of label 1 (0 without rows); a label's repeated
 rows count once, as 1 if any says 1; null labels and ids are not learnt from; an empty table gives an empty
-result; only doc_id, text and the label are read.
+result; only doc_id, text and the label are read, so further columns of any name make no difference.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import map_batches, strings
 
 BITS = 18
+#: Letters that a word's stem has; words of as many or more count by their stem too, since many languages inflect.
+STEM = 5
 
 
 @dataclass(frozen=True)
@@ -52,12 +56,21 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_FOLD).split()
 
 
+def _codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
+
+
 def features(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every unigram, bigram and skip-gram over one or two words."""
+    """(text, bucket) of every unigram, as it is and by its stem, bigram and skip-gram over one or two words."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    code = np.fromiter(map(zlib.crc32, chain.from_iterable(words)), dtype=np.uint64, count=int(sizes.sum()))
+    every = list(chain.from_iterable(words))
+    code = _codes(every)
     owner = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
     owners, buckets = [owner], [code * _KEYS[0] >> np.uint64(64 - BITS)]
+    stems = [w[:STEM] if w.isascii() else w.decode()[:STEM].encode() for w in every]
+    long = np.fromiter((len(w) >= STEM and (w.isascii() or len(w.decode()) >= STEM) for w in every), dtype=bool, count=len(every))
+    owners.append(owner[long])
+    buckets.append((_codes(stems)[long] + np.uint64(STEM << 32)) * _KEYS[1] >> np.uint64(64 - BITS))
     for gap in (1, 2, 3):
         if len(code) > gap:
             pair = (code[:-gap] * _KEYS[1] + code[gap:] * _KEYS[2] + np.uint64(gap)) * _KEYS[3]
