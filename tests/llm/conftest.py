@@ -3,10 +3,15 @@ from pyspark.sql import types as T
 
 from rowforge.llm.common import WORD  # noqa: F401
 
+#: Further columns whose names clash with what the operators return or use.
+EXTRA = (
+    "score", "size", "place", "cls", "kept", "media", "ids", "spans", "n", "hash", "node", "shard", "taken", "at", "whole", "place_below", "block", "blocks", "other", "root", "low", "high",
+    "copies", "values", "bands", "id", "group", "links", "least_id", "file", "row", "more", "words", "seed", "key", "chain", "side", "begin", "codes", "asks", "share", "bucket", "left",
+    "upto", "label", "predicted", "held_out", "times", "source_size", "target", "match", "law", "slot", "rank", "order", "clip", "error", "feature", "remainder", "ratio", "level", "number",
+)
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
-    # further columns whose names clash with what the operators return or use
-    *(T.StructField(c, T.StringType()) for c in ("score", "size", "place", "cls", "kept", "media", "ids", "spans", "n", "hash", "node", "shard", "taken")),
+    *(T.StructField(c, T.StringType()) for c in EXTRA),
 ])
 
 
@@ -16,7 +21,7 @@ def make(spark, tmp_path_factory):
 
     def write(rows, parts=3):
         path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
-        full = [(i, t, "en", s, None if t is None else len(t), *(["x"] * 13)) for i, t, s in rows]
+        full = [(i, t, "en", s, None if t is None else len(t), *(["x"] * len(EXTRA))) for i, t, s in rows]
         spark.createDataFrame(full, SCHEMA).repartition(parts).write.parquet(path)
         return spark.read.parquet(path)
 

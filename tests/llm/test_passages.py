@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from rowforge.llm import passages
 
 
@@ -13,35 +11,39 @@ def pairs_of(got):
     return {tuple(sorted(p)) for p in zip(got["doc_id"], got["other_doc_id"], strict=True)}
 
 
-@pytest.mark.parametrize("parts", [[(0, 49)], [(11, 60)], [(5, 54)], [(0, 30), (30, 60)], [(0, 49), (11, 60)]])
-def test_passages_whose_parts_are_common_keep_their_pair(make, parts):
+def test_passages_whose_parts_are_common_keep_their_pair(make):
     """60 words of a pair; other documents have parts of them that are too short to count."""
+    cases = [[(0, 49)], [(11, 60)], [(5, 54)], [(0, 30), (30, 60)], [(0, 49), (11, 60)]]
     rng, rows, n = random.Random(61), [], 40
-    for i in range(n):
-        shared = words(rng, 60)
-        rows += [(1000 * i + k, " ".join(words(rng, rng.randrange(20, 60)) + shared + words(rng, 40)), "p") for k in range(2)]
-        for p, (a, b) in enumerate(parts):
-            rows += [(1000 * i + 10 * (p + 1) + k, " ".join(words(rng, 50) + shared[a:b] + words(rng, 50)), "h") for k in range(3)]
+    for c, parts in enumerate(cases):
+        for i in range(c * n, c * n + n):
+            shared = words(rng, 60)
+            rows += [(1000 * i + k, " ".join(words(rng, rng.randrange(20, 60)) + shared + words(rng, 40)), "p") for k in range(2)]
+            for p, (a, b) in enumerate(parts):
+                rows += [(1000 * i + 10 * (p + 1) + k, " ".join(words(rng, 50) + shared[a:b] + words(rng, 50)), "h") for k in range(3)]
     rng.shuffle(rows)
-    got = passages.repeated(make(rows, parts=5)).toPandas()
-    want = {(1000 * i, 1000 * i + 1) for i in range(n)}
-    assert len(pairs_of(got) & want) >= (0.8 if parts == [(0, 49), (11, 60)] else 0.95) * n  # the last: two parts that overlap by 38 words
-    assert pairs_of(got) <= want  # 49 words are no passage
+    found = pairs_of(passages.repeated(make(rows, parts=5)).toPandas())
+    assert found <= {(1000 * i, 1000 * i + 1) for i in range(len(cases) * n)}  # 49 words are no passage
+    for c in range(len(cases)):
+        least = 0.8 if c == 4 else 0.95  # the last: two parts that overlap by 38 words
+        assert sum(c * n <= i // 1000 < c * n + n for i, _ in found) >= least * n, cases[c]
 
 
-@pytest.mark.parametrize(("rate", "least"), [(0.05, 0.97), (0.08, 0.97), (0.1, 0.97), (0.12, 0.95), (0.15, 0.95), (0.18, 0.9)])
-def test_recall_of_edited_passages(make, rate, least):
+def test_recall_of_edited_passages(make):
     """80 words with random substitutions, of which 80 % or more are left, against what a comparison of all pairs would find."""
-    rng, rows, n = random.Random(int(rate * 100)), [], 60
-    for i in range(n):
-        old = words(rng, 80)
-        new = old
-        while new == old or sum(a == b for a, b in zip(old, new, strict=True)) < 64:
-            new = [words(rng, 1)[0] if rng.random() < rate else w for w in old]
-        rows += [(2 * i, " ".join(words(rng, 70) + old + words(rng, 70)), "f"), (2 * i + 1, " ".join(words(rng, 80) + new + words(rng, 60)), "f")]
+    rates, n = {0.05: 0.97, 0.08: 0.97, 0.1: 0.97, 0.12: 0.95, 0.15: 0.95, 0.18: 0.9}, 60
+    rng, rows = random.Random(17), []
+    for c, rate in enumerate(rates):
+        for i in range(c * n, c * n + n):
+            old = words(rng, 80)
+            new = old
+            while new == old or sum(a == b for a, b in zip(old, new, strict=True)) < 64:
+                new = [words(rng, 1)[0] if rng.random() < rate else w for w in old]
+            rows += [(2 * i, " ".join(words(rng, 70) + old + words(rng, 70)), "f"), (2 * i + 1, " ".join(words(rng, 80) + new + words(rng, 60)), "f")]
     found = pairs_of(passages.repeated(make(rows)).toPandas())
-    assert found <= {(2 * i, 2 * i + 1) for i in range(n)}
-    assert len(found) >= least * n
+    assert found <= {(2 * i, 2 * i + 1) for i in range(len(rates) * n)}
+    for c, (rate, least) in enumerate(rates.items()):
+        assert sum(c * n <= i // 2 < c * n + n for i, _ in found) >= least * n, rate
 
 
 def brute_force(texts, least=50):

@@ -6,9 +6,13 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from rowforge.llm import bpe, quality_rules, secrets  # noqa: E402
 from rowforge.llm.queries import ORACLES, QUERIES  # noqa: E402
 
+from .conftest import EXTRA, ODD  # noqa: E402
+
 
 def test_every_operator_is_registered():
     assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
@@ -44,3 +48,28 @@ def test_stages(spark, sf, tmp_path):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_run_on_odd_rows_and_columns_of_any_name(spark, sf, make, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, ties and clashing columns; the results are those that the docstring names."""
+    plain = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    rows = [tuple(r) for r in plain.select("doc_id", "text", "source").collect()]
+    rows = [(10_000 + i, t, s) for i, t, s in rows] + [rows[0], rows[0], (None, rows[1][1], None), (None, rows[2][1] + " tail", "s")] + ODD
+    docs = make(rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    kept = set(corpus_pipeline.quality(spark, docs, "").toPandas()["doc_id"].dropna().astype(int))
+    assert len(out) and set(out["doc_id"].dropna().astype(int)) <= kept and {2, 3, 4, 9}.isdisjoint(kept)
+    assert out["doc_id"].value_counts().max() <= 3 and (out["n_tokens"] > 0).all()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and docs.columns[5:] == list(EXTRA), name
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.where(" or ".join(f"`{c}` != 'x'" for c in EXTRA)).isEmpty(), name
+
+
+def test_run_on_an_empty_table(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").where(F.lit(False)).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.isEmpty()
